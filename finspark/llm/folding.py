@@ -13,15 +13,20 @@ import numpy as np
 
 from finspark.llm.lookalikes import SAME_SHAPE
 
-_SHAPES = str.maketrans({a: b for a, b in SAME_SHAPE})
-_SILENT = dict.fromkeys(c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf")
+_ODD = {chr(c): "" for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf"} | {a: b for a, b in SAME_SHAPE}
+_ODD_RE = re.compile("[" + "".join(map(re.escape, sorted(_ODD))) + "]")
 _SENTENCE = re.compile(r"[。！？!?…]+[”’\"'）)]*|(?<![0-9]\.)(?<=[^\s.])\.(?=\s|$|[A-ZÀ-Þ一-鿿])|(?<=[0-9])\.(?=\s|$|[A-ZÀ-Þ一-鿿])|[\r\n]{2,}")
 _CJK = re.compile(r"[㐀-鿿豈-﫿\U00020000-\U0003ffff]")
 
 
 def fold(text: str) -> str:
     """One character form; blanks and case are kept."""
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFKC", text).translate(_SILENT).translate(_SHAPES))
+    if text.isascii():
+        return text
+    text = unicodedata.normalize("NFKC", text)
+    if _ODD_RE.search(text):
+        text = unicodedata.normalize("NFC", _ODD_RE.sub(lambda m: _ODD[m.group()], text))
+    return text
 
 
 def bare(text: str) -> str:
@@ -34,7 +39,6 @@ def sentences(text: str) -> list[str]:
     t = fold(text)
     # a single line break may fall anywhere, also within a word
     out, at = [], 0
-    t = re.sub(r"[^\S\r\n]+", " ", t)
     for m in _SENTENCE.finditer(t):
         out.append(t[at : m.end()])
         at = m.end()

@@ -60,12 +60,27 @@ def sentences_of(text: str) -> list[str]:
     return [s for s in (x.strip() for x in _SENT.split(t)) if re.search(r"\w", s)]
 
 
-def tokens(sentence: str, cjk: bool) -> np.ndarray:
-    """Slots of the tokens of a sentence: character bigrams for Chinese, words otherwise."""
+_PART = np.zeros(0x110000, dtype=bool)
+for _lo, _hi in ((0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF), (0x61, 0x7A), (0x30, 0x30)):
+    _PART[_lo : _hi + 1] = True
+_EMPTY = np.empty(0, dtype=np.int64)
+
+
+def tokens(sentences: list[str], cjk: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, sentence numbers) of the tokens of a text: character bigrams for Chinese, words otherwise."""
+    if not sentences:
+        return _EMPTY, _EMPTY
     if cjk:
-        parts = re.findall(r"[㐀-鿿豈-﫿0a-z]+", sentence)
-        return (folding.gram_hashes(parts, 2) % np.uint64(SLOTS)).astype(np.int64)
-    return np.array([_slot(w) for w in _EN_WORD.findall(sentence)], dtype=np.int64)
+        codes = np.frombuffer("\n".join(sentences).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        part = _PART[codes]
+        pair = part[:-1] & part[1:]
+        wide = codes.astype(np.uint64)
+        with np.errstate(over="ignore"):
+            h = folding.mix(wide[:-1][pair] * np.uint64(0x9E3779B97F4A7C15) + wide[1:][pair])
+        return (h % np.uint64(SLOTS)).astype(np.int64), np.cumsum(codes == 10)[:-1][pair]
+    words = [[_slot(w) for w in _EN_WORD.findall(x)] for x in sentences]
+    flat = np.array([s for w in words for s in w], dtype=np.int64)
+    return flat, np.repeat(np.arange(len(words)), [len(w) for w in words])
 
 
 def features(text: str, rarity: np.ndarray, difficulty: np.ndarray, seen: np.ndarray) -> tuple[bool, list[float]] | None:
@@ -74,38 +89,42 @@ def features(text: str, rarity: np.ndarray, difficulty: np.ndarray, seen: np.nda
         return None
     s = sentences_of(text)
     cjk = folding.is_cjk("".join(s))
-    toks = [tokens(x, cjk) for x in s]
-    pairs = [(x, t) for x, t in zip(s, toks) if len(t)]
-    if not pairs:
-        return cjk, [0.0] * (2 * 1 + 19)
-    all_ = np.concatenate([t for _, t in pairs])
-    hard = np.array([difficulty[t].mean() for _, t in pairs])
-    weight = np.array([len(t) for _, t in pairs], dtype=float)
-    known = (seen[all_] > 0).mean()
-    length = np.array([len(x) if cjk else len(x.split()) for x, _ in pairs], dtype=float)
-    clauses = np.array([1 + len(_CLAUSE.findall(x)) for x, _ in pairs], dtype=float)
-    joins = np.array([len(_CONNECT_ZH.findall(x)) if cjk else sum(w in CONNECTIVES_EN for w in _EN_WORD.findall(x)) for x, _ in pairs], dtype=float)
+    all_, of = tokens(s, cjk)
+    if not len(all_):
+        return cjk, [0.0] * 21
+    weight = np.bincount(of, minlength=len(s)).astype(float)
+    has = weight > 0
+    level = difficulty[all_]
+    hard = np.bincount(of, weights=level, minlength=len(s))[has] / weight[has]
+    s, weight = [x for x, h in zip(s, has) if h], weight[has]
+    count = len(s)
+    length = [float(len(x)) if cjk else float(x.count(" ") + 1) for x in s]
+    clauses = [1.0 + len(_CLAUSE.findall(x)) for x in s]
+    joins = [float(len(_CONNECT_ZH.findall(x))) if cjk else float(sum(w in CONNECTIVES_EN for w in x.split())) for x in s]
+    ordered = np.sort(hard)
+    quantiles = np.interp([0.1, 0.25, 0.5, 0.75, 0.9], np.linspace(0, 1, count), ordered) if count > 1 else np.repeat(ordered, 5)
     rare = rarity[all_]
-    half = np.quantile(hard, [0.1, 0.25, 0.5, 0.75, 0.9])
+    rare_high = np.partition(rare, int(0.9 * (len(rare) - 1)))[int(0.9 * (len(rare) - 1))]
+    words = text.split()
     return cjk, [
-        difficulty[all_].mean(),
-        float(np.average(hard, weights=weight)),
-        hard.mean(),
-        *half.tolist(),
-        (hard >= 3.5).mean(),
-        float(np.average(hard >= 3.5, weights=weight)),
-        (hard >= 2.5).mean(),
-        known,
-        rare.mean(),
-        float(np.quantile(rare, 0.9)),
-        len(np.unique(all_)) / np.sqrt(len(all_)),
-        np.log(length.mean()),
-        np.log(length.max()),
-        clauses.mean(),
-        (length / clauses).mean() / 10,
-        joins.mean(),
-        (joins / length).mean() * 10,
-        (len(text.split()) and sum(map(len, text.split())) / len(text.split()) / 10) if not cjk else 0.0,
+        float(level.mean()),
+        float((hard * weight).sum() / weight.sum()),
+        float(hard.mean()),
+        *quantiles.tolist(),
+        float((hard >= 3.5).mean()),
+        float((weight * (hard >= 3.5)).sum() / weight.sum()),
+        float((hard >= 2.5).mean()),
+        float((seen[all_] > 0).mean()),
+        float(rare.mean()),
+        float(rare_high),
+        float(len(np.unique(all_)) / np.sqrt(len(all_))),
+        float(np.log(sum(length) / count)),
+        float(np.log(max(length))),
+        sum(clauses) / count,
+        sum(a / b for a, b in zip(length, clauses)) / count / 10,
+        sum(joins) / count,
+        sum(a / b for a, b in zip(joins, length)) / count * 10,
+        0.0 if cjk else sum(map(len, words)) / len(words) / 10,
     ]
 
 
@@ -164,8 +183,7 @@ class Model:
 
 def _slots_of(text: str | None) -> np.ndarray:
     s = sentences_of(text) if text and text.strip() else []
-    cjk = folding.is_cjk("".join(s))
-    return np.concatenate([np.empty(0, dtype=np.int64), *[tokens(x, cjk) for x in s]])
+    return tokens(s, folding.is_cjk("".join(s)))[0]
 
 
 def graded_documents(documents: DataFrame, labels: DataFrame, most: int = MOST_GRADED) -> DataFrame:
