@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from finspark.plans import facts
+from finspark.plans import arithmetic, facts, pages, reconcile, retrieval, scoring, spans, splits, textrules
 
-MODULES = (facts,)
+MODULES = (facts, reconcile, arithmetic, spans, scoring, retrieval, splits, textrules, pages)
 
 
 def queries() -> dict:
