@@ -102,7 +102,7 @@ def scan(body: str) -> tuple[str, list[tuple[str, tuple[str, ...]]]]:
             continue
         if c in "{[":
             path = name if not stack else f"{stack[-1][1]}.{stack[-1][3] or ''}" if stack[-1][0] == "{" else f"{stack[-1][1]}[]"
-            stack.append([c, path, [], None])
+            stack.append([c, path if len(stack) < 5 else "", [], None])
         elif c in "}]":
             if not stack or (stack[-1][0] == "{") != (c == "}"):
                 return "broken", closed
