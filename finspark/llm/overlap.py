@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from finspark.llm import folding
 from finspark.session import cut
 
-SHARE, KEEP = 0.6, 12
+SHARE, KEEP = 0.6, 40
 AGREE, EDITS = 0.8, 4
 SLOTS = 1 << 18
 GRAM_CJK, GRAM = 10, 25
@@ -50,9 +50,9 @@ def agreement(a: str, b: str) -> float:
         return 0.0
     same = x & y
     agreed, left, right = same.total(), list((x - same).elements()), list((y - same).elements())
-    for s in left:
-        if agreed + len(left) < AGREE * most:
-            break
+    for rest, s in zip(range(len(left), 0, -1), left):
+        if agreed + rest < AGREE * most:
+            return agreed / most
         near = [(folding.edit_distance(s, t, min(EDITS, len(s) // 6)), k) for k, t in enumerate(right)]
         near = [v for v in near if v[0] <= min(EDITS, len(s) // 6)]
         if near:
@@ -95,64 +95,70 @@ def rarity(texts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """e, h, size, at: the prefix elements of each text."""
+    """e, c, size, at, train, held: the prefix elements of each text."""
     common = np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             parts = []
-            for h, t in zip(b["h"], b["content"]):
+            for c, t, train, held in zip(b["c"], b["content"], b["train"], b["held"]):
                 s = shingles(t)
                 if not len(s):
                     continue
                 order = np.lexsort((s, common[(s % np.uint64(SLOTS)).astype(np.int64)]))
                 need = math.ceil(SHARE * len(s))
                 p = s[order][: len(s) - need + min(KEEP, need)]
-                parts.append(pd.DataFrame({"e": p.view(np.int64), "h": h, "size": np.int32(len(s)), "at": np.arange(len(p), dtype=np.int32)}))
+                parts.append((p.view(np.int64), c, len(s), train, held))
             if parts:
-                yield pd.concat(parts, ignore_index=True)
+                n = [len(p[0]) for p in parts]
+                yield pd.DataFrame(
+                    {
+                        "e": np.concatenate([p[0] for p in parts]),
+                        "c": np.repeat([p[1] for p in parts], n),
+                        "size": np.repeat(np.array([p[2] for p in parts], dtype=np.int32), n),
+                        "at": np.concatenate([np.arange(k, dtype=np.int32) for k in n]),
+                        "train": np.repeat([p[3] for p in parts], n),
+                        "held": np.repeat([p[4] for p in parts], n),
+                    }
+                )
 
-    return texts.select("h", "content").mapInPandas(emit, "e long, h string, size int, at int")
+    return texts.select("c", "content", "train", "held").mapInPandas(emit, "e long, c long, size int, at int, train boolean, held boolean")
 
 
 def similar_classes(texts: DataFrame) -> DataFrame:
-    """h_train, h_held of different texts, one trained on and one held out, that are nearly the same.
+    """c_train, c_held of different texts, one trained on and one held out, that are nearly the same.
 
-    texts: h, content, train, held (whether a document of that side has the text); one row per class.
+    texts: c, content, train, held (whether a document of that side has the text); one row per class.
     """
-    counts = rarity(texts)
-    p = _prefixes(texts, counts)
-    sides = texts.select("h", "train", "held")
-    p = cut(p.join(sides, "h"))
-    index = p.where("held").select("e", F.col("h").alias("h_held"), F.col("size").alias("size_held"), F.col("at").alias("at_held"))
-    probe = p.where("train").select("e", F.col("h").alias("h_train"), F.col("size").alias("size_train"), F.col("at").alias("at_train"))
+    p = cut(_prefixes(texts, rarity(texts)))
+    index = p.where("held").select("e", F.col("c").alias("c_held"), F.col("size").alias("size_held"), F.col("at").alias("at_held"))
+    probe = p.where("train").select("e", F.col("c").alias("c_train"), F.col("size").alias("size_train"), F.col("at").alias("at_train"))
     most, least = F.greatest("size_held", "size_train"), F.least("size_held", "size_train")
     rest = F.least(F.col("size_held") - F.col("at_held"), F.col("size_train") - F.col("at_train"))
-    shared = probe.join(index, "e").where((F.col("h_held") != F.col("h_train")) & (least >= F.ceil(SHARE * most)) & (rest >= F.ceil(SHARE * most) - F.least("at_held", "at_train")))
-    pairs = shared.groupBy("h_train", "h_held").agg(F.count("*").alias("n"), F.first("size_train").alias("a"), F.first("size_held").alias("b"))
-    pairs = pairs.where(F.col("n") >= F.least(F.lit(KEEP), F.ceil(SHARE * F.least("a", "b")))).select("h_train", "h_held")
-    both = pairs.join(texts.select(F.col("h").alias("h_train"), F.col("content").alias("x")), "h_train").join(texts.select(F.col("h").alias("h_held"), F.col("content").alias("y")), "h_held")
+    shared = probe.join(index, "e").where((F.col("c_held") != F.col("c_train")) & (least >= F.ceil(SHARE * most)) & (rest >= F.ceil(SHARE * most) - F.least("at_held", "at_train")))
+    pairs = shared.groupBy("c_train", "c_held").agg(F.count("*").alias("n"), F.min(least).alias("least"))
+    pairs = pairs.where(F.col("n") >= F.least(F.lit(KEEP), F.ceil(SHARE * F.col("least")))).select("c_train", "c_held")
+    both = pairs.join(texts.select(F.col("c").alias("c_train"), F.col("content").alias("x")), "c_train").join(texts.select(F.col("c").alias("c_held"), F.col("content").alias("y")), "c_held")
 
     @F.pandas_udf("boolean")
     def agree(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([agreement(a, b) >= AGREE for a, b in zip(x, y)], dtype=bool)
 
-    return both.where(agree("x", "y")).select("h_train", "h_held")
+    return both.where(agree("x", "y")).select("c_train", "c_held")
 
 
 def split_overlaps(inputs: DataFrame) -> DataFrame:
     """document_id_a < document_id_b: one document of train, one of eval or holdout, with the same or nearly the same content."""
     rows = inputs.where("document_id is not null and content is not null and split in ('train', 'eval', 'holdout')").select("document_id", "split", "content")
     read = cut(rows.mapInPandas(_read, "document_id string, split string, content string, h string").where("h is not null"))
-    members = read.select("document_id", "h", (F.col("split") == "train").alias("train")).distinct()
-    texts = cut(
-        read.groupBy("h").agg(F.min("content").alias("content"), F.max(F.col("split") == "train").alias("train"), F.max(F.col("split") != "train").alias("held"))
-    )
-    same = texts.where("train and held").select(F.col("h").alias("h_train"), F.col("h").alias("h_held"))
-    links = same.unionAll(similar_classes(texts))
-    t = members.where("train").select(F.col("h").alias("h_train"), F.col("document_id").alias("t"))
-    e = members.where("not train").select(F.col("h").alias("h_held"), F.col("document_id").alias("e"))
-    pairs = links.join(t, "h_train").join(e, "h_held").where("t <> e")
+    texts = read.groupBy("h").agg(F.min("content").alias("content"), F.max(F.col("split") == "train").alias("train"), F.max(F.col("split") != "train").alias("held"))
+    texts = cut(texts.withColumn("c", F.monotonically_increasing_id()))  # short class ids, fixed by the checkpoint
+    members = read.select("document_id", "h", (F.col("split") == "train").alias("train")).distinct().join(texts.select("h", "c"), "h")
+    same = texts.where("train and held").select(F.col("c").alias("c_train"), F.col("c").alias("c_held"))
+    links = same.unionAll(similar_classes(texts.drop("h")))
+    t = members.where("train").select(F.col("c").alias("c_train"), F.col("document_id").alias("t"))
+    e = members.where("not train").select(F.col("c").alias("c_held"), F.col("document_id").alias("e"))
+    pairs = links.join(t, "c_train").join(e, "c_held").where("t <> e")
     return pairs.select(F.least("t", "e").alias("document_id_a"), F.greatest("t", "e").alias("document_id_b")).distinct()
 
 
