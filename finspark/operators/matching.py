@@ -9,47 +9,28 @@ from pyspark.sql import DataFrame
 
 
 def maximum_matching(edges: list[tuple]) -> int:
-    """Size of a maximum matching (Hopcroft-Karp: shortest augmenting paths in phases)."""
+    """Size of a maximum matching: from every left node a breadth-first search for an augmenting path."""
     near = defaultdict(list)
     for a, b in dict.fromkeys(edges):
         near[a].append(b)
-    left, right, size = {}, {}, 0
-    while True:
-        level = {a: 0 for a in near if a not in left}
-        queue, found = deque(level), False
-        while queue:
+    left, right = {}, {}
+    for root in near:
+        came, queue, end = {}, deque([root]), None
+        while queue and end is None:
             a = queue.popleft()
             for b in near[a]:
-                c = right.get(b)
-                if c is None:
-                    found = True
-                elif c not in level:
-                    level[c] = level[a] + 1
-                    queue.append(c)
-        if not found:
-            return size
-        for root in [a for a in near if a not in left]:
-            stack, path = [(root, iter(near[root]))], []
-            while stack:
-                a, rest = stack[-1]
-                for b in rest:
-                    c = right.get(b)
-                    if c is None or level.get(c, -1) == level[a] + 1:
-                        path.append((a, b))
-                        if c is None:
-                            for x, y in path:
-                                left[x], right[y] = y, x
-                            size += 1
-                            stack = []
-                        else:
-                            level[c], was = -1, c
-                            stack.append((was, iter(near[was])))
-                        break
-                else:
-                    stack.pop()
-                    if path:
-                        path.pop()
-                    level[a] = -1
+                if b in came:
+                    continue
+                came[b] = a
+                if b not in right:
+                    end = b
+                    break
+                queue.append(right[b])
+        while end is not None:
+            a = came[end]
+            before = left.get(a)
+            left[a], right[end], end = end, a, before
+    return len(left)
 
 
 def matched_counts(edges: DataFrame, key: str, a: str, b: str) -> DataFrame:

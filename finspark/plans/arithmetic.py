@@ -35,8 +35,8 @@ C.add(
 C.add(
     "price_eps_pe",
     """WITH p AS (SELECT p_partkey, CAST(p_retailprice AS DECIMAL(18,2)) AS price, CAST(p_size AS DECIMAL(18,2)) AS pe FROM {part} WHERE p_size > 0)
-    SELECT p_partkey, price, CAST(ROUND(CAST(price AS DOUBLE) / CAST(pe AS DOUBLE), 2) AS DECIMAL(18,2)) AS eps,
-      CASE WHEN price BETWEEN (CAST(ROUND(CAST(price AS DOUBLE) / CAST(pe AS DOUBLE), 2) AS DECIMAL(18,2)) - 0.005) * (pe - 0.5) AND (CAST(ROUND(CAST(price AS DOUBLE) / CAST(pe AS DOUBLE), 2) AS DECIMAL(18,2)) + 0.005) * (pe + 0.5) THEN TRUE ELSE FALSE END AS compatible FROM p""",
+    SELECT p_partkey, price, CAST(FLOOR(CAST(price AS DOUBLE) / CAST(pe AS DOUBLE) * 100 + 0.500001) / 100 AS DECIMAL(18,2)) AS eps,
+      CASE WHEN price BETWEEN (CAST(FLOOR(CAST(price AS DOUBLE) / CAST(pe AS DOUBLE) * 100 + 0.500001) / 100 AS DECIMAL(18,2)) - 0.005) * (pe - 0.5) AND (CAST(FLOOR(CAST(price AS DOUBLE) / CAST(pe AS DOUBLE) * 100 + 0.500001) / 100 AS DECIMAL(18,2)) + 0.005) * (pe + 0.5) THEN TRUE ELSE FALSE END AS compatible FROM p""",
 )
 _MONTHLY = "WITH t AS (SELECT o_custkey, o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS v, LAG(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM {orders})"
 C.add(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from finspark.plans import arithmetic, facts, pages, reconcile, retrieval, scoring, spans, splits, textrules
+from finspark.plans import arithmetic, events, facts, pages, reconcile, retrieval, scoring, spans, splits, textrules
 
-MODULES = (facts, reconcile, arithmetic, spans, scoring, retrieval, splits, textrules, pages)
+MODULES = (facts, reconcile, arithmetic, spans, scoring, retrieval, splits, textrules, pages, events)
 
 
 def queries() -> dict:

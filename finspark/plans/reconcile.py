@@ -130,5 +130,5 @@ C.add("unit_dimension_lookup", f"SELECT COALESCE(u.dimension, 'other') AS dimens
 C.add("title_year_mode", "SELECT doc, yr, n, years FROM (SELECT doc, yr, n, COUNT(*) OVER (PARTITION BY doc) AS years, row_number() OVER (PARTITION BY doc ORDER BY n DESC, yr) AS rn FROM (SELECT company AS doc, substring(period, 1, 4) AS yr, COUNT(*) AS n FROM {facts} WHERE period IS NOT NULL AND length(period) >= 6 AND company IS NOT NULL GROUP BY company, substring(period, 1, 4)) t) u WHERE rn = 1")
 C.add("new_claim_antijoin", "SELECT DISTINCT a.fact_id FROM {facts} a LEFT JOIN (SELECT DISTINCT metric, value, unit, period FROM {facts} WHERE basis = 'reported') b ON a.metric = b.metric AND a.value = b.value AND a.unit = b.unit AND a.period = b.period WHERE a.basis <> 'reported' AND b.metric IS NULL")
 C.add("micro_unit_ceiling", "SELECT request_id, CAST(CEIL(CAST(usage.cost_cny AS DECIMAL(18,8)) * 1000000) AS BIGINT) AS micro FROM {run_results} WHERE usage IS NOT NULL AND usage.cost_cny IS NOT NULL")
-C.add("lenient_number", "SELECT row_id, CAST(ROUND(TRY_CAST(regexp_replace(regexp_extract(value, '-?[0-9][0-9,]*[.]?[0-9]*', 0), ',', '') AS DOUBLE), 4) AS DECIMAL(28,4)) AS v FROM {facts} WHERE length(value) < 16".replace("regexp_replace(regexp_extract(value, '-?[0-9][0-9,]*[.]?[0-9]*', 0), ',', '')", "replace(regexp_extract(value, '-?[0-9][0-9,]*[.]?[0-9]*', 0), ',', '')"))
+C.add("lenient_number", "SELECT row_id, TRY_CAST(replace(regexp_extract(value, '-?[0-9][0-9,]*[.]?[0-9]*', 0), ',', '') AS DECIMAL(34,15)) AS v FROM {facts} WHERE length(value) < 16 AND regexp_like(value, '[0-9]')")
 QUERIES, SQL = C.queries, C.sql

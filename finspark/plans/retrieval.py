@@ -43,7 +43,7 @@ C.frame(
 C.add("catalog_summary", "SELECT source, lang, scene, COUNT(*) AS documents, CAST(SUM(n_chars) AS BIGINT) AS chars FROM {documents} GROUP BY GROUPING SETS ((source), (lang), (scene))")
 C.add("kb_index_export", "SELECT doc_id, run_id, page, block_id, block_type, text FROM {blocks} WHERE text IS NOT NULL AND TRIM(text) <> ''")
 C.add("anchor_set_equality", "SELECT doc_id, COUNT(DISTINCT page) AS pages, COUNT(DISTINCT block_id) AS ids, COUNT(*) AS rows FROM {blocks} GROUP BY doc_id".replace(" AS rows", " AS n"))
-C.add("corpus_import", "SELECT doc_id, COALESCE(NULLIF(TRIM(title), ''), NULLIF(TRIM(company), ''), 'untitled') AS name, CASE WHEN text IS NULL THEN 'skipped_null' WHEN TRIM(text) = '' THEN 'skipped_blank' ELSE 'imported' END AS outcome FROM {documents}")
+C.add("corpus_import", "SELECT doc_id, COALESCE(NULLIF(TRIM(title), ''), NULLIF(TRIM(company), ''), 'untitled') AS name, CASE WHEN text IS NULL THEN 'skipped_null' WHEN NOT regexp_like(text, '[A-Za-z0-9一-鿿]') THEN 'skipped_blank' ELSE 'imported' END AS outcome FROM {documents}")
 C.add("uri_binding", "SELECT i.document_id, p.prefix FROM (SELECT DISTINCT document_id FROM {inputs_research442}) i JOIN (SELECT DISTINCT substring(document_id, 1, position(':' IN document_id)) AS prefix FROM {inputs_research442} WHERE document_id IS NOT NULL) p ON substring(i.document_id, 1, position(':' IN i.document_id)) = p.prefix")
 C.add("per_source_longest", "SELECT source, doc_id, n_chars FROM (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM {documents} WHERE n_chars IS NOT NULL) t WHERE rn <= 3")
 C.add("late_documents", "SELECT doc_id, CAST(published_at AS DATE) AS published, CAST(crawled_at AS DATE) AS crawled FROM {documents} WHERE crawled_at > published_at + INTERVAL 30 DAY")
