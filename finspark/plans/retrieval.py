@@ -24,6 +24,14 @@ C.frame(
     ),
     _BM25,
 )
+# bm25_topk asks with the first 40 characters of an item, as its SQL states; this asks with the whole text
+C.frame(
+    "bm25_topk_whole",
+    lambda spark, d: lexical.bm25_topk(
+        table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+    ),
+    _BM25.replace("substring(text, 1, 40) AS text", "text"),
+)
 C.frame(
     "cosine_topk",
     lambda spark, d: vectors.cosine_topk(table(spark, d, "embeddings")),
