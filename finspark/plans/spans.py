@@ -42,6 +42,26 @@ _E = "substring(content, 1, {s}.span_start) || {s}.text || substring(content, {s
 C.add("apply_edits", _EDIT.format(e=_E.format(s="gold.spans[0]"), n="size", s="gold.spans[0]"), _EDIT.format(e=_E.format(s="gold.spans[1]"), n="len", s="gold.spans[1]"))
 
 
+def _spliced(spark, d):
+    """case_id, changed, outcome: one row per case with gold, all its spans put into the content from right to left.
+
+    apply_edits takes cases of one span only, as its SQL states. Of equal starts the longer span goes first, then
+    the earlier one of the list. changed is null where outcome is not ``spliced``: ``no_content``, ``bad_span`` (null
+    offset or text, or offsets outside the content), ``overlapping_spans``. Without spans the content stays as it is.
+    """
+    content = table(spark, d, "inputs_research442").where("content is not null").groupBy("document_id").agg(F.min("content").alias("content"))
+    s = table(spark, d, "case_evidence").where("gold is not null").select("case_id", "document_id", F.coalesce("gold.spans", F.array()).alias("spans"))
+    s = s.join(content, "document_id", "left").withColumn("bad", F.exists("spans", lambda x: ~F.coalesce((x["span_start"] >= 0) & (x["span_start"] <= x["span_end"]) & (x["span_end"] <= F.length("content")) & x["text"].isNotNull(), F.lit(False))))
+    last = F.array_sort(F.transform("spans", lambda x, i: F.struct((-x["span_start"]).alias("a"), (-x["span_end"]).alias("b"), i.alias("i"), x["text"].alias("text"))))
+    s = s.withColumn("last", last).withColumn("crossed", F.exists(F.sequence(F.lit(1), F.greatest(F.size("last") - 1, F.lit(1))), lambda i: F.get("last", i)["b"] < F.get("last", i - 1)["a"]))
+    outcome = F.when(F.col("content").isNull(), "no_content").when(F.col("bad"), "bad_span").when(F.coalesce("crossed", F.lit(False)), "overlapping_spans").otherwise("spliced")
+    text = F.aggregate("last", F.col("content"), lambda t, x: F.concat(F.substring(t, F.lit(1), -x["a"]), x["text"], F.substring(t, 1 - x["b"], F.length(t))))
+    return s.select("case_id", F.when(outcome == "spliced", text).alias("changed"), outcome.alias("outcome"))
+
+
+C.frame("apply_edits_whole", _spliced)
+
+
 def _matching(spark, d):
     s = table(spark, d, "case_evidence").where("gold is not null").select("document_id", "case_id", "arm", F.explode("gold.spans").alias("s"))
     s = s.select("document_id", "case_id", "arm", F.col("s.span_start").alias("a"), F.col("s.span_end").alias("b")).where("a < b")

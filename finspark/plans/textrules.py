@@ -47,6 +47,17 @@ _BAG = """WITH x AS (SELECT case_id, sp.text AS a, sp.original_text AS b FROM (S
   SELECT case_id, CAST(ROUND(CAST(SUM(LEAST(m, n)) AS DOUBLE) / CAST(SUM(GREATEST(m, n)) AS DOUBLE), 4) AS DECIMAL(9,4)) AS agreement FROM j GROUP BY case_id"""
 _DCHARS = "SELECT case_id, c, COUNT(*) AS n FROM (SELECT case_id, unnest(string_split({f}, '')) AS c FROM x) t WHERE c <> '' GROUP BY case_id, c"
 C.add("bag_agreement", _BAG.format(first="gold.spans[0]", n="size", p=_CHARS.format(f="a"), q=_CHARS.format(f="b")), _BAG.format(first="gold.spans[1]", n="len", p=_DCHARS.format(f="a"), q=_DCHARS.format(f="b")))
+# bag_agreement compares the first span of a case only; here every span has a row, null where a text is missing or both are empty
+_EVERY = """WITH x AS ({x}), c AS (SELECT case_id, span_index, c, SUM(m) AS m, SUM(n) AS n FROM (
+    SELECT case_id, span_index, {a} AS c, 1 AS m, 0 AS n FROM x WHERE a IS NOT NULL AND b IS NOT NULL UNION ALL SELECT case_id, span_index, {b} AS c, 0 AS m, 1 AS n FROM x WHERE a IS NOT NULL AND b IS NOT NULL) t
+    WHERE c <> '' GROUP BY case_id, span_index, c),
+  j AS (SELECT case_id, span_index, CAST(ROUND(CAST(SUM(LEAST(m, n)) AS DOUBLE) / CAST(SUM(GREATEST(m, n)) AS DOUBLE), 4) AS DECIMAL(9,4)) AS agreement FROM c GROUP BY case_id, span_index)
+  SELECT x.case_id, x.span_index, j.agreement FROM x LEFT JOIN j ON x.case_id = j.case_id AND x.span_index = j.span_index"""
+C.add(
+    "bag_agreement_whole",
+    _EVERY.format(x="SELECT case_id, span_index, sp.text AS a, sp.original_text AS b FROM {case_evidence} LATERAL VIEW posexplode(gold.spans) t AS span_index, sp", a="explode(split(a, ''))", b="explode(split(b, ''))"),
+    _EVERY.format(x="SELECT case_id, span_index, sp.text AS a, sp.original_text AS b FROM (SELECT case_id, CAST(unnest(range(len(gold.spans))) AS INT) AS span_index, unnest(gold.spans) AS sp FROM {case_evidence} WHERE gold IS NOT NULL) t", a="unnest(string_split(a, ''))", b="unnest(string_split(b, ''))"),
+)
 C.add("sentence_split", "SELECT item_id, size(filter(split(text, '[。！？!?]+'), s -> TRIM(s) <> '')) AS sentences FROM {eval_items}", "SELECT item_id, CAST(len(list_filter(regexp_split_to_array(text, '[。！？!?]+'), lambda s: TRIM(s) <> '')) AS INT) AS sentences FROM {eval_items}")
 C.add("auto_confirm", "SELECT case_id, CASE WHEN prediction.validation = 'verified' AND NOT prediction.invalid_anchor THEN 'confirm' ELSE 'review' END AS decision FROM {case_evidence} WHERE prediction IS NOT NULL")
 QUERIES, SQL = C.queries, C.sql

@@ -35,3 +35,39 @@ def test_ranking_asks_with_the_whole_text(spark, tmp_path):
                 want[q, d] = round(s, 4)
     got = {(r.query_id, r.doc_id): float(r.score) for r in QUERIES["bm25_topk_whole"](spark, str(tmp_path)).collect()}
     assert got == want and {(0, 2), (20, 3)} <= set(got)
+
+
+_CASES = "case_id string, document_id string, gold struct<spans array<struct<span_start int, span_end int, original_text string, text string>>>"
+
+
+def test_every_span_of_a_case(spark, tmp_path):
+    spans = {
+        "two": [(1, 3, "bc", "XYZ"), (5, 6, "f", "")],
+        "unordered": [(7, 8, "h", "88"), (0, 1, "a", "é🙂")],
+        "touching": [(2, 4, "cd", "1"), (4, 6, "ef", "2")],
+        "inserted": [(4, 4, "", "+"), (4, 6, "ef", "2"), (4, 4, "", "-")],
+        "crossed": [(1, 4, "bcd", "x"), (3, 6, "def", "y")],
+        "within": [(0, 8, "abcdefgh", "x"), (2, 3, "c", "y")],
+        "beyond": [(0, 1, "a", "b"), (6, 99, "gh", "x")],
+        "null": [(0, 1, "a", "b"), (2, 3, "c", None)],
+        "none": [],
+    }
+    rows = [(k, "d", (v,)) for k, v in spans.items()] + [("lost", "e", ([(0, 1, "a", "b")],)), ("fp", "d", None)]
+    spark.createDataFrame(rows, _CASES).write.parquet(f"{tmp_path}/case_evidence.parquet")
+    spark.createDataFrame([("d", "abcdefgh"), ("e", None)], "document_id string, content string").write.parquet(f"{tmp_path}/inputs_research442.parquet")
+    got = {r.case_id: (r.outcome, r.changed) for r in QUERIES["apply_edits_whole"](spark, str(tmp_path)).collect()}
+    whole = {"two": "aXYZdegh", "unordered": "é🙂bcdefg88", "touching": "ab12gh", "inserted": "abcd-+2gh", "none": "abcdefgh"}
+    assert got == {k: ("spliced", v) for k, v in whole.items()} | {"crossed": ("overlapping_spans", None), "within": ("overlapping_spans", None), "beyond": ("bad_span", None), "null": ("bad_span", None), "lost": ("no_content", None)}
+    bags = {(r.case_id, r.span_index): None if r.agreement is None else float(r.agreement) for r in QUERIES["bag_agreement_whole"](spark, str(tmp_path)).collect()}
+    assert len(bags) == sum(map(len, spans.values())) + 1
+    for k, v in spans.items():
+        for i, (_, _, a, b) in enumerate(v):
+            m, n = Counter(b or ""), Counter(a)
+            assert bags[k, i] == (None if b is None or not (m | n) else round(sum((m & n).values()) / sum((m | n).values()), 4))
+
+
+def test_single_spans_are_spliced_as_before(spark):
+    sf = "/root/testdata/sf0.001"
+    whole = {r.case_id: r.changed for r in QUERIES["apply_edits_whole"](spark, sf).collect()}
+    old = {r.case_id: r.changed for r in QUERIES["apply_edits"](spark, sf).collect()}
+    assert old and all(whole[k] == v for k, v in old.items()) and len(whole) > len(old)
