@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from finspark.functions import notation as N
 from finspark.plans.shared import Catalog
+from finspark.session import table
 
 C = Catalog()
 
@@ -131,4 +135,65 @@ C.add("title_year_mode", "SELECT doc, yr, n, years FROM (SELECT doc, yr, n, COUN
 C.add("new_claim_antijoin", "SELECT DISTINCT a.fact_id FROM {facts} a LEFT JOIN (SELECT DISTINCT metric, value, unit, period FROM {facts} WHERE basis = 'reported') b ON a.metric = b.metric AND a.value = b.value AND a.unit = b.unit AND a.period = b.period WHERE a.basis <> 'reported' AND b.metric IS NULL")
 C.add("micro_unit_ceiling", "SELECT request_id, CAST(CEIL(CAST(usage.cost_cny AS DECIMAL(18,8)) * 1000000) AS BIGINT) AS micro FROM {run_results} WHERE usage IS NOT NULL AND usage.cost_cny IS NOT NULL")
 C.add("lenient_number", "SELECT row_id, TRY_CAST(replace(regexp_extract(value, '-?[0-9][0-9,]*[.]?[0-9]*', 0), ',', '') AS DECIMAL(34,15)) AS v FROM {facts} WHERE length(value) < 16 AND regexp_like(value, '[0-9]')")
+
+
+def _read(spark, d, *columns):
+    """Facts with ``n``, the exact number of ``value`` (null where unreadable), and ``unit_of``, dim and e10 of their unit.
+
+    The unit is that of ``unit``, else the one behind the number; a number before other words, or before another unit
+    than ``unit`` names, is unreadable.
+    """
+    names = spark.createDataFrame(N.unit_table(), "name string, dim string, e10 int")
+    f = table(spark, d, "facts").select("row_id", *columns, F.trim("unit").alias("unit"), N.squeeze(F.col("unit")).alias("u1"), N.parse_number(F.col("value")).alias("n"))
+    f = f.withColumn("u2", N.squeeze(F.col("n.suffix")))
+    for key, out in (("u1", "f1"), ("u2", "f2")):
+        f = f.join(F.broadcast(names.select(F.col("name").alias(key), F.struct("dim", "e10").alias(out))), key, "left")
+    same = F.col("f2").isNotNull() & (F.col("f1").isNull() | (F.col("f1") == F.col("f2")))
+    exact = (F.col("u2") == "") | (F.col("u1") == F.col("u2")) | same
+    return f.select("row_id", *columns, "unit", F.when(exact, F.col("n")).alias("n"), F.coalesce("f1", "f2").alias("unit_of"))
+
+
+def _plain(e10):
+    return F.when(F.col("n.digits") == "0", F.lit("0")).otherwise(N.plain(F.col("n.sign"), F.col("n.digits"), e10))
+
+
+def _normalized(spark, d):
+    """row_id, value (exact decimal string), unit: one row per fact, in the common unit; both null where it cannot be read.
+
+    quantity_normalize takes plain ASCII numbers of at most 14 characters in five money units, as its SQL states.
+    """
+    told = F.col("n").isNotNull() & F.col("unit_of").isNotNull()
+    common = F.lit(None).cast("string")
+    for k, v in N.COMMON.items():
+        common = F.when(F.col("unit_of.dim") == k, v).otherwise(common)
+    return _read(spark, d).select("row_id", F.when(told, _plain(F.col("n.e10") + F.col("unit_of.e10"))).alias("value"), F.when(told, common).alias("unit"))
+
+
+def _first_number(spark, d):
+    """row_id, v: one row per fact with the first number in ``value`` as an exact decimal string, null where there is none.
+
+    lenient_number drops values of 16 characters and more and full-width digits, as its SQL states. Dollar signs go
+    first, as in the reference (scorers.py, to_number); commas are dropped, brackets and exponents are not read.
+    """
+    first = F.regexp_extract(F.replace(N.to_half_width(F.col("value")), F.lit("$"), F.lit("")), "-?[0-9][0-9,]*(?:[.][0-9]+)?", 0)
+    return table(spark, d, "facts").select("row_id", N.parse_number(F.replace(first, F.lit(","), F.lit(""))).alias("n")).select("row_id", _plain(F.col("n.e10")).alias("v"))
+
+
+def _conflicts(spark, d):
+    """The columns of intrinsic_conflict_findings over every exact number, not only plain ones of 15 digits.
+
+    Facts of one unit at one scale are compared, in any spelling of it; units that are not in the table as they are
+    printed. Pairs are counted from the rows of each value, (n * n - sum of squares) / 2, and none is built.
+    """
+    keys = ["company", "metric", "period", "basis", "scope", "currency"]
+    f = _read(spark, d, *keys).where(_KNOWN).where("n is not null and (unit_of is not null or unit is not null)")
+    f = f.withColumn("same", F.coalesce(F.concat_ws(" ", "unit_of.dim", "unit_of.e10"), F.lit(""))).withColumn("printed", F.when(F.col("unit_of").isNull(), F.col("unit")))
+    v = f.groupBy(*keys, "same", "printed", "n.sign", "n.digits", "n.e10").agg(F.count("*").alias("k"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi"))
+    g = v.groupBy(*keys, "same", "printed").agg(F.count("*").alias("values"), F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("sq"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return g.where("values > 1").groupBy(*keys).agg(F.min("lo").alias("first_row"), F.max("hi").alias("last_row"), F.sum(F.expr("(n * n - sq) div 2")).alias("pairs"))
+
+
+C.frame("quantity_normalize_whole", _normalized)
+C.frame("lenient_number_whole", _first_number)
+C.frame("intrinsic_conflict_findings_whole", _conflicts)
 QUERIES, SQL = C.queries, C.sql

@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from decimal import Decimal
 
 from finspark.plans import catalogue
+from finspark.session import table
 
 QUERIES = catalogue.queries()
 
@@ -71,3 +73,34 @@ def test_single_spans_are_spliced_as_before(spark):
     whole = {r.case_id: r.changed for r in QUERIES["apply_edits_whole"](spark, sf).collect()}
     old = {r.case_id: r.changed for r in QUERIES["apply_edits"](spark, sf).collect()}
     assert old and all(whole[k] == v for k, v in old.items()) and len(whole) > len(old)
+
+
+def test_every_printed_form_of_a_number(spark, tmp_path):
+    shown = [("504,131,400,000", "元"), ("(1,234.5)", "万元"), ("１２３．４", "亿元"), ("1234567890123456789.25", "元"), ("3519183.4US$ thousand", None), ("-7", "万 元"), ("5亿元", "万元"), ("about 5", "元"), ("5", None), (None, "元"), ("12%", "%"), ("0.00", "千元"), ("-$8", "bp")]
+    rows = [(i, v, u, *("abcdef"), ) for i, (v, u) in enumerate(shown)]
+    rows += [(100 + i, v, u, "other", *"bcdef") for i, (v, u) in enumerate([("1,000", "万元"), ("1000.0", "万 元"), ("(1,000)", "万元"), ("2,000万元", None), ("1000", "亿元"), ("7", "unheard"), ("8", "unheard"), ("9", None), ("x", "万元")])]
+    spark.createDataFrame(rows, "row_id long, value string, unit string, company string, metric string, period string, basis string, scope string, currency string").write.parquet(f"{tmp_path}/facts.parquet")
+    got = {r.row_id: (r.value, r.unit) for r in QUERIES["quantity_normalize_whole"](spark, str(tmp_path)).collect() if r.row_id < 100}
+    want = [("504131400000", "yuan"), ("-12345000", "yuan"), ("12340000000", "yuan"), ("1234567890123456789.25", "yuan"), ("3519183400", "dollar"), ("-70000", "yuan")] + [(None, None)] * 4 + [("12", "percent"), ("0", "yuan"), (None, None)]
+    assert got == dict(enumerate(want))
+    first = {r.row_id: r.v for r in QUERIES["lenient_number_whole"](spark, str(tmp_path)).collect() if r.row_id < 100}
+    assert first == dict(enumerate(["504131400000", "1234.5", "123.4", "1234567890123456789.25", "3519183.4", "-7", "5", "5", "5", None, "12", "0", "-8"]))
+    found = {r.company: (r.first_row, r.last_row, r.pairs) for r in QUERIES["intrinsic_conflict_findings_whole"](spark, str(tmp_path)).collect()}
+    assert found["other"] == (100, 106, 5 + 1)
+    assert found["a"] == (0, 5, 2) and len(found) == 2
+
+
+def test_plain_numbers_are_read_as_before(spark):
+    sf = "/root/testdata/sf0.01"
+    new = {r.row_id: r for r in QUERIES["quantity_normalize_whole"](spark, sf).collect()}
+    old = QUERIES["quantity_normalize"](spark, sf).collect()
+    # the old one rounds to six decimals before it scales by 10**8 at most
+    assert old and all(new[r.row_id].unit == "yuan" and abs(r.yuan - Decimal(new[r.row_id].value)) <= 50 for r in old)
+    first = {r.row_id: r.v for r in QUERIES["lenient_number_whole"](spark, sf).collect()}
+    # other minus signs, points and commas than the ASCII ones are lost in the old one
+    ascii_ = {r.row_id for r in table(spark, sf, "facts").select("row_id", "value").collect() if r.value and r.value.isascii() and "$" not in r.value}
+    both = [(r.v, Decimal(first[r.row_id])) for r in QUERIES["lenient_number"](spark, sf).collect() if r.row_id in ascii_]
+    assert both and all(a == b for a, b in both)
+    keys = lambda n: {tuple(r[:6]): r.pairs for r in QUERIES[n](spark, sf).collect()}
+    old, new = keys("intrinsic_conflict_findings"), keys("intrinsic_conflict_findings_whole")
+    assert old and all(new[k] >= n for k, n in old.items())
