@@ -48,6 +48,12 @@ C.frame(
     lambda spark, d: table(spark, d, "eval_items").select("item_id", F.size(lexical.tokens(F.col("text"))).alias("tokens"), F.size(F.array_distinct(lexical.tokens(F.col("text")))).alias("terms")),
     f"SELECT item_id, CAST(len(t) AS INT) AS tokens, CAST(len(list_distinct(t)) AS INT) AS terms FROM (SELECT item_id, {_TOK} AS t FROM eval_items)",
 )
+# tokenize_bigrams is over the 240 items; this is over the corpus, null for a null text
+C.frame(
+    "tokenize_bigrams_documents",
+    lambda spark, d: table(spark, d, "documents").select("doc_id", lexical.tokens(F.col("text")).alias("t")).select("doc_id", F.when(F.col("t").isNotNull(), F.size("t")).alias("tokens"), F.when(F.col("t").isNotNull(), F.size(F.array_distinct("t"))).alias("terms")),
+    f"SELECT doc_id, CAST(len(t) AS INT) AS tokens, CAST(len(list_distinct(t)) AS INT) AS terms FROM (SELECT doc_id, CASE WHEN text IS NOT NULL THEN {_TOK} END AS t FROM documents)",
+)
 C.add("catalog_summary", "SELECT source, lang, scene, COUNT(*) AS documents, CAST(SUM(n_chars) AS BIGINT) AS chars FROM {documents} GROUP BY GROUPING SETS ((source), (lang), (scene))")
 C.add("kb_index_export", "SELECT doc_id, run_id, page, block_id, block_type, text FROM {blocks} WHERE text IS NOT NULL AND TRIM(text) <> ''")
 C.add("anchor_set_equality", "SELECT doc_id, COUNT(DISTINCT page) AS pages, COUNT(DISTINCT block_id) AS ids, COUNT(*) AS rows FROM {blocks} GROUP BY doc_id".replace(" AS rows", " AS n"))

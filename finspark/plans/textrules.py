@@ -59,5 +59,12 @@ C.add(
     _EVERY.format(x="SELECT case_id, span_index, sp.text AS a, sp.original_text AS b FROM (SELECT case_id, CAST(unnest(range(len(gold.spans))) AS INT) AS span_index, unnest(gold.spans) AS sp FROM {case_evidence} WHERE gold IS NOT NULL) t", a="unnest(string_split(a, ''))", b="unnest(string_split(b, ''))"),
 )
 C.add("sentence_split", "SELECT item_id, size(filter(split(text, '[。！？!?]+'), s -> TRIM(s) <> '')) AS sentences FROM {eval_items}", "SELECT item_id, CAST(len(list_filter(regexp_split_to_array(text, '[。！？!?]+'), lambda s: TRIM(s) <> '')) AS INT) AS sentences FROM {eval_items}")
+# sentence_split is over the 240 items; this is over the corpus: null for a null text, pieces of blanks and line ends are no sentences
+_PARTS = "SELECT doc_id, CASE WHEN text IS NOT NULL THEN {n} END AS sentences FROM {{documents}}"
+C.add(
+    "sentence_split_documents",
+    _PARTS.format(n="size(filter(split(text, '[。！？!?]+'), s -> regexp_like(s, '[^ \t\r\n　]')))"),
+    _PARTS.format(n="CAST(len(list_filter(regexp_split_to_array(text, '[。！？!?]+'), lambda s: regexp_matches(s, '[^ \t\r\n　]'))) AS INT)"),
+)
 C.add("auto_confirm", "SELECT case_id, CASE WHEN prediction.validation = 'verified' AND NOT prediction.invalid_anchor THEN 'confirm' ELSE 'review' END AS decision FROM {case_evidence} WHERE prediction IS NOT NULL")
 QUERIES, SQL = C.queries, C.sql

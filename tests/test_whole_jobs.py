@@ -104,3 +104,12 @@ def test_plain_numbers_are_read_as_before(spark):
     keys = lambda n: {tuple(r[:6]): r.pairs for r in QUERIES[n](spark, sf).collect()}
     old, new = keys("intrinsic_conflict_findings"), keys("intrinsic_conflict_findings_whole")
     assert old and all(new[k] >= n for k, n in old.items())
+
+
+def test_every_document_is_split_and_tokenised(spark, tmp_path):
+    docs = [(1, "收入增长。利润下降！\r\n"), (2, None), (3, ""), (4, " \r\n\t　"), (5, "a b?\rc d!\nB"), (6, "库存周转" * 30_000 + "。" + "x y! " * 20_000)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    split = {r.doc_id: r.sentences for r in QUERIES["sentence_split_documents"](spark, str(tmp_path)).collect()}
+    assert split == {1: 2, 2: None, 3: 0, 4: 0, 5: 3, 6: 20_001}
+    got = {r.doc_id: (r.tokens, r.terms) for r in QUERIES["tokenize_bigrams_documents"](spark, str(tmp_path)).collect()}
+    assert got == {d: (None, None) if t is None else (len(_terms(t)), len(set(_terms(t)))) for d, t in docs}
