@@ -83,15 +83,22 @@ def tokens(sentences: list[str], cjk: bool) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.repeat(np.arange(len(words)), [len(w) for w in words])
 
 
+#: What features() gives, in order.
+FEATURES = (
+    "level", "level_by_weight", "level_of_sentences", "q10", "q25", "q50", "q75", "q90", "hard", "hard_by_weight", "middling", "seen",
+    "rarity", "rarity_high", "diversity", "length", "longest", "clauses", "clause_length", "connectives", "connectives_by_length", "word_length",
+)
+
+
 def features(text: str, rarity: np.ndarray, difficulty: np.ndarray, seen: np.ndarray) -> tuple[bool, list[float]] | None:
-    """(script, features) of a text with words, else None."""
+    """(script, features) of a text, zeros where it has no token (only emoji, marks, other scripts); None if blank."""
     if not text or not text.strip():
         return None
     s = sentences_of(text)
     cjk = folding.is_cjk("".join(s))
     all_, of = tokens(s, cjk)
     if not len(all_):
-        return cjk, [0.0] * 21
+        return cjk, [0.0] * len(FEATURES)
     weight = np.bincount(of, minlength=len(s)).astype(float)
     has = weight > 0
     level = difficulty[all_]
@@ -213,7 +220,8 @@ def corpus_rarity(documents: DataFrame) -> np.ndarray:
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
-    """The model for a corpus and its grades, or None without grades."""
+    """The model for a corpus and its grades, or None without grades. A script (Chinese, other) with fewer than 20
+    grades has no part in it, and its documents get no level."""
     graded = graded_documents(documents, labels)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,7 +267,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, reading_level: one row per document, null without text. Scoring is one pass without a shuffle."""
+    """doc_id, reading_level: one row per document, null without text or where its script has fewer than 20 grades. Scoring is one pass without a shuffle."""
     model = fit(documents, labels)
     if model is None:
         return documents.select("doc_id", F.lit(None).cast("int").alias("reading_level"))
