@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,7 +61,43 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the checkpoint folder so that later reads survive lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """The same rows, written as Parquet to the checkpoint folder so that later reads survive lost executors.
+
+    Columnar and compressed, so later steps read only the columns they use. The tables are removed when the
+    driver's process ends.
+    """
+    spark = df.sparkSession
+    to = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(to)
+    _remove_at_end(spark, to)
+    return spark.read.schema(df.schema).parquet(to)
+
+
+_WRITTEN: dict[int, list[str]] = {}
+
+
+def _remove_at_end(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if id(sc) not in _WRITTEN:
+        _WRITTEN[id(sc)] = []
+        atexit.register(remove_cuts, spark)
+    _WRITTEN[id(sc)].append(path)
+
+
+def remove_cuts(spark: SparkSession) -> None:
+    """Removes what ``cut`` wrote in this context; results that were not read yet are lost."""
+    sc = spark.sparkContext
+    paths = _WRITTEN.get(id(sc), [])
+    while paths:
+        try:
+            at = sc._jvm.org.apache.hadoop.fs.Path(paths.pop())
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the context may be gone
+            return
+
+
+def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInPandas`` with this package on the workers, whether or not ``table`` was used before."""
+    ship(df.sparkSession)
+    return df.mapInPandas(function, schema)
