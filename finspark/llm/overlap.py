@@ -1,161 +1,213 @@
 """The same or nearly the same records on both sides of a split.
 
-A text is the set of its shingles: runs of five words (25 letters, or 10 Chinese characters, without
-blanks) inside sentences, so that order and layout of sentences do not matter. All shingles have one
-total order, rare ones first; rarity is read from a table of SLOTS counters that one aggregation over
-all texts fills. Two sets that share the fraction SHARE of the larger one must share KEEP elements
-among the first |A| - ceil(SHARE * |A|) + KEEP of each: these prefixes of the held-out side are the
-index, those of the training side probe it, with filters on length and on the position of the
-shared elements. What is left is verified on whole sentences: at least AGREE of them must be equal
-but for EDITS characters.
-
-Exact copies are one text throughout; pairs of documents are expanded from the classes at the end.
+A text is the multiset of its sentences, folded so that character forms, spacing, line breaks and letter
+case do not count; two sentences agree where they differ by at most ``edits_allowed`` characters; two texts
+are nearly the same where AGREE of the sentences of the larger one have a partner.
+
+The join is exact for this definition. It is a prefix filter on rare elements, held-out side indexed,
+training side probing:
+
+* Of the n sentences of a held-out text at most n - ceil(AGREE * n) may lack a partner, so one of any
+  n - ceil(AGREE * n) + 1 of them has one. That many are taken as its prefix: the rarest over all texts,
+  by exact counts, then the longest.
+* A sentence that may be edited in d places is cut into d + 1 shingles of one length, the first half of them
+  counted from its start, the others from its end. An edited partner keeps one of them whole. Taken from the
+  outside to the inside, it keeps one that stands behind at most as many edits as shingles lie before it, so
+  the j-th shingle moved by j places at most (position filter). The training side emits its shingles, the
+  prefixes emit their text at these places.
+* Shingles meet on equal hashes. What meets must have numbers of sentences and characters that can agree
+  (length filter) and, of 128 bits set by pairs of neighbouring characters, differ in no more than the edits can
+  change. The pairs of texts that are left are verified sentence by sentence.
+
+Exact copies are one class throughout, so that a hot text meets as one; pairs of documents are expanded
+from the classes at the end.
 
 Odd input: null, empty and blank contents pair with nothing; a document of several deliveries is one
-document; rows of other splits are left out; documents without an id pair with nothing.
+document, and has every pair that one of its deliveries has; rows of other splits are left out; documents
+without an id pair with nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finspark.llm import folding
-from finspark.session import cut
+from finspark.session import cut, map_batches
 
-SHARE, KEEP = 0.6, 40
-AGREE, EDITS = 0.8, 4
-SLOTS = 1 << 18
-GRAM_CJK, GRAM = 10, 25
+#: Share of the sentences that must agree; characters a sentence may be edited in, at most, and characters for each edit.
+AGREE, EDITS, PER_EDIT = 0.8, 3, 6
+#: Lengths of one shingle length: lengths are classed by their root to this base.
+STEP = 1.25
 
 
-def shingles(text: str) -> np.ndarray:
-    """Distinct shingle hashes of a text."""
-    s = folding.sentences(text)
-    n = GRAM_CJK if folding.is_cjk("".join(s)) else GRAM
-    return np.unique(folding.gram_hashes(s, n))
+def edits_allowed(length: int) -> int:
+    """Edits within which two sentences agree, by the length of the longer one."""
+    return min(EDITS, length // PER_EDIT)
 
 
-def agreement(a: str, b: str) -> float:
-    """Share of the sentences, of the text that has more, that have a partner on the other side."""
-    x, y = Counter(folding.sentences(a)), Counter(folding.sentences(b))
-    most = max(x.total(), y.total())
+def sentences_agree(a: str, b: str) -> bool:
+    most = edits_allowed(max(len(a), len(b)))
+    return folding.edit_distance(a, b, most) <= most
+
+
+def agreement_of(x: list[str], y: list[str]) -> float:
+    """Share of the sentences, of the text that has more, that have a partner of their own on the other side."""
+    most = max(len(x), len(y))
     if not most:
         return 0.0
-    same = x & y
-    agreed, left, right = same.total(), list((x - same).elements()), list((y - same).elements())
-    for rest, s in zip(range(len(left), 0, -1), left):
-        if agreed + rest < AGREE * most:
-            return agreed / most
-        near = [(folding.edit_distance(s, t, min(EDITS, len(s) // 6)), k) for k, t in enumerate(right)]
-        near = [v for v in near if v[0] <= min(EDITS, len(s) // 6)]
-        if near:
-            right.pop(min(near)[1])
-            agreed += 1
-    return agreed / most
+    a, b = Counter(x), Counter(y)
+    same = a & b
+    left, right = list((a - same).elements()), list((b - same).elements())
+    agreed = same.total()
+    if agreed + min(len(left), len(right)) < AGREE * most:
+        return agreed / most
+    partners = [[j for j, t in enumerate(right) if sentences_agree(s, t)] for s in left]
+    taken: dict[int, int] = {}
+
+    def place(i: int, seen: set[int]) -> bool:
+        for j in partners[i]:
+            if j not in seen:
+                seen.add(j)
+                if j not in taken or place(taken[j], seen):
+                    taken[j] = i
+                    return True
+        return False
+
+    return (agreed + sum(place(i, set()) for i in range(len(left)))) / most
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Class key of each text: 128 bits of its folded sentences in any order; null for texts without words."""
-    import hashlib
+def agreement(a: str, b: str) -> float:
+    """``agreement_of`` for two texts."""
+    return agreement_of(folding.sentences(a), folding.sentences(b))
+
 
+def sketches(sentences: list[str]) -> list[tuple[int, int]]:
+    """Per sentence 128 bits, as two signed numbers, set by its pairs of neighbouring characters."""
+    if not sentences:
+        return []
+    codes = np.frombuffer("".join(sentences).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    ends = np.cumsum([len(s) for s in sentences])
+    starts = ends - np.array([len(s) for s in sentences])
+    after = np.concatenate([codes[1:], np.zeros(1, dtype=np.uint64)])
+    after[ends - 1] = 0
+    with np.errstate(over="ignore"):
+        h = folding.mix(codes * np.uint64(0x9E3779B97F4A7C15) + after) >> np.uint64(57)
+    bit = np.uint64(1) << (h & np.uint64(63))
+    low, high = np.where(h < 64, bit, np.uint64(0)), np.where(h < 64, np.uint64(0), bit)
+    out = (np.bitwise_or.reduceat(v, starts).view(np.int64).tolist() for v in (low, high))
+    return list(zip(*out))
+
+
+_READ = "document_id string, train boolean, c long, c2 long, s array<struct<i int, h long, n int, lo long, hi long, text string>>"
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Class of each text (128 bits of its sentences in any order) and its sentences; texts without words are left out."""
     for b in batches:
-        keys = []
-        for t in b["content"]:
-            s = folding.sentences(t) if t is not None else []
-            keys.append(hashlib.blake2b("\x00".join(sorted(s)).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if s else None)
-        yield b.assign(h=keys)
-
-
-def rarity(texts: DataFrame) -> np.ndarray:
-    """SLOTS counters of how often shingles of a slot occur over all texts; the result has a fixed size."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(SLOTS, dtype=np.int64)
-        for b in batches:
-            for t in b["content"]:
-                n += 0 if t is None else np.bincount((shingles(t) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS) if len(t) > 1 << 16 else _small(n, t)
-        at = n.nonzero()[0]
-        yield pd.DataFrame({"slot": at, "n": n[at]})
-
-    def _small(n: np.ndarray, t: str) -> int:
-        np.add.at(n, (shingles(t) % np.uint64(SLOTS)).astype(np.int64), 1)
-        return 0
-
-    out = np.zeros(SLOTS, dtype=np.int64)
-    rows = texts.select("content").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out[rows["slot"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
-    return out
-
-
-def _prefixes(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """e, c, size, at, train, held: the prefix elements of each text."""
-    common = np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32)
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            parts = []
-            for c, t, train, held in zip(b["c"], b["content"], b["train"], b["held"]):
-                s = shingles(t)
-                if not len(s):
-                    continue
-                order = np.lexsort((s, common[(s % np.uint64(SLOTS)).astype(np.int64)]))
-                need = math.ceil(SHARE * len(s))
-                p = s[order][: len(s) - need + min(KEEP, need)]
-                parts.append((p.view(np.int64), c, len(s), train, held))
-            if parts:
-                n = [len(p[0]) for p in parts]
-                yield pd.DataFrame(
-                    {
-                        "e": np.concatenate([p[0] for p in parts]),
-                        "c": np.repeat([p[1] for p in parts], n),
-                        "size": np.repeat(np.array([p[2] for p in parts], dtype=np.int32), n),
-                        "at": np.concatenate([np.arange(k, dtype=np.int32) for k in n]),
-                        "train": np.repeat([p[3] for p in parts], n),
-                        "held": np.repeat([p[4] for p in parts], n),
-                    }
-                )
-
-    return texts.select("c", "content", "train", "held").mapInPandas(emit, "e long, c long, size int, at int, train boolean, held boolean")
+        out = []
+        for i, split, t in zip(b["document_id"], b["split"], b["content"]):
+            s = sorted(folding.sentences(t))
+            if not s:
+                continue
+            key = hashlib.blake2b("\x00".join(s).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            hashes = [int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for x in s]
+            parts = [{"i": k, "h": h, "n": len(x), "lo": lo, "hi": hi, "text": x} for k, (h, x, (lo, hi)) in enumerate(zip(hashes, s, sketches(s)))]
+            out.append((i, split == "train", int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), parts))
+        yield pd.DataFrame(out, columns=["document_id", "train", "c", "c2", "s"])
+
+
+def _length_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(STEP)).cast("int")
+
+
+def _shingle_length(d: Column, k: Column) -> Column:
+    least = F.greatest(F.ceil(F.pow(F.lit(STEP), k.cast("double")) - 1e-9).cast("int"), d * (PER_EDIT - 1), F.lit(1))
+    return F.greatest((least / (d + 1)).cast("int"), F.lit(1))
+
+
+def _keys(text: Column, n: Column, d: Column, k: Column, moved: bool) -> Column:
+    """Hashes of the shingles of a sentence; where ``moved``, at every place an edited partner may have them."""
+    size, front = _shingle_length(d, k), F.floor((d + 2) / 2).cast("int")  # of d + 1 shingles this many count from the start
+
+    def one(j: Column) -> Column:
+        head = j < front
+        i = F.when(head, j).otherwise(j - front)  # shingles outside of it
+        at = F.when(head, i * size).otherwise(n - (i + 1) * size)
+        shifts = F.sequence(-i, i) if moved else F.array(F.lit(0))
+        inside = F.filter(shifts, lambda m: (at + m >= 0) & (at + m + size <= n))
+        return F.transform(inside, lambda m: F.xxhash64(F.substring(text, at + m + 1, size), j, d, k))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), d), one)))
+
+
+def _allowed(n: Column) -> Column:
+    return F.least(F.lit(EDITS), F.floor(n / PER_EDIT).cast("int"))
+
+
+def _probe(texts: DataFrame) -> DataFrame:
+    """e, c, size, n, lo, hi: the shingles of every sentence of the training side."""
+    s = texts.where("train").select("c", F.size("s").alias("size"), F.inline("s"))
+    # the longer one of a pair sets the edits, so a sentence takes part as itself and as the shorter one
+    s = s.withColumn("d", F.explode(F.array_distinct(F.array(_allowed(F.col("n")), _allowed(F.col("n") + EDITS)))))
+    e = F.explode(_keys(F.col("text"), F.col("n"), F.col("d"), _length_class(F.col("n")), False))
+    return s.select(e.alias("e"), "c", "size", "n", "lo", "hi")
+
+
+def _index(texts: DataFrame) -> DataFrame:
+    """e, c, size, n, lo, hi: where the shingles of the partners of each held-out prefix may be."""
+    held = texts.where("held").select("c", "c2", F.size("s").alias("size"), "s")
+    counts = texts.select(F.explode("s.h").alias("h")).groupBy("h").agg(F.count("*").alias("often"))
+    s = held.select("c", "c2", "size", F.inline("s")).select("c", "c2", "size", "i", "h", "n").join(counts, "h")
+    order = F.array_sort(F.collect_list(F.struct("often", (-F.col("n")).alias("short"), "i")))
+    take = F.max(F.col("size") - F.ceil(F.col("size") * AGREE - 1e-9).cast("int") + 1)
+    chosen = s.groupBy("c", "c2").agg(F.slice(order, F.lit(1), take).alias("p")).select("c", "c2", F.col("p.i").alias("p"))
+    prefix = F.array_distinct(F.transform("p", lambda i: F.get("s", i)))
+    s = held.join(chosen, ["c", "c2"]).select("c", "size", F.inline(prefix))
+    n = F.col("n")
+    spread = F.sequence(F.greatest(n - _allowed(n), F.lit(1)), n + _allowed(n + EDITS))
+    pairs = F.array_distinct(F.transform(spread, lambda m: F.struct(_allowed(F.greatest(m, n)).alias("d"), _length_class(m).alias("k"))))
+    s = s.select("c", "size", "text", "n", "lo", "hi", F.inline(pairs))
+    return s.select(F.explode(_keys(F.col("text"), n, F.col("d"), F.col("k"), True)).alias("e"), "c", "size", "n", "lo", "hi")
 
 
 def similar_classes(texts: DataFrame) -> DataFrame:
     """c_train, c_held of different texts, one trained on and one held out, that are nearly the same.
 
-    texts: c, content, train, held (whether a document of that side has the text); one row per class.
+    texts: c, c2, s, train, held (whether a document of that side has the text); one row per class.
     """
-    p = cut(_prefixes(texts, rarity(texts)))
-    index = p.where("held").select("e", F.col("c").alias("c_held"), F.col("size").alias("size_held"), F.col("at").alias("at_held"))
-    probe = p.where("train").select("e", F.col("c").alias("c_train"), F.col("size").alias("size_train"), F.col("at").alias("at_train"))
+    index = _index(texts).select("e", F.col("c").alias("c_held"), F.col("size").alias("size_held"), F.col("n").alias("m"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    probe = _probe(texts).withColumnsRenamed({"c": "c_train", "size": "size_train"})
     most, least = F.greatest("size_held", "size_train"), F.least("size_held", "size_train")
-    rest = F.least(F.col("size_held") - F.col("at_held"), F.col("size_train") - F.col("at_train"))
-    shared = probe.join(index, "e").where((F.col("c_held") != F.col("c_train")) & (least >= F.ceil(SHARE * most)) & (rest >= F.ceil(SHARE * most) - F.least("at_held", "at_train")))
-    pairs = shared.groupBy("c_train", "c_held").agg(F.count("*").alias("n"), F.min(least).alias("least"))
-    pairs = pairs.where(F.col("n") >= F.least(F.lit(KEEP), F.ceil(SHARE * F.col("least")))).select("c_train", "c_held")
-    both = pairs.join(texts.select(F.col("c").alias("c_train"), F.col("content").alias("x")), "c_train").join(texts.select(F.col("c").alias("c_held"), F.col("content").alias("y")), "c_held")
+    edits = _allowed(F.greatest("n", "m"))
+    bits = F.bit_count(F.col("lo").bitwiseXOR(F.col("lo2"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("hi2")))
+    met = probe.join(index, "e").where((F.col("c_held") != F.col("c_train")) & (least >= F.ceil(AGREE * most - 1e-9)) & (F.abs(F.col("n") - F.col("m")) <= edits) & (bits <= 4 * edits))
+    pairs = cut(met.select("c_train", "c_held").distinct(), "pairs")
+    t = texts.where("train").select(F.col("c").alias("c_train"), F.col("s.text").alias("x"))
+    h = texts.where("held").select(F.col("c").alias("c_held"), F.col("s.text").alias("y"))
 
     @F.pandas_udf("boolean")
     def agree(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([agreement(a, b) >= AGREE for a, b in zip(x, y)], dtype=bool)
+        return pd.Series([agreement_of(list(a), list(b)) >= AGREE for a, b in zip(x, y)], dtype=bool)
 
-    return both.where(agree("x", "y")).select("c_train", "c_held")
+    return pairs.join(t, "c_train").join(h, "c_held").where(agree("x", "y")).select("c_train", "c_held")
 
 
 def split_overlaps(inputs: DataFrame) -> DataFrame:
     """document_id_a < document_id_b: one document of train, one of eval or holdout, with the same or nearly the same content."""
     rows = inputs.where("document_id is not null and content is not null and split in ('train', 'eval', 'holdout')").select("document_id", "split", "content")
-    read = cut(rows.mapInPandas(_read, "document_id string, split string, content string, h string").where("h is not null"))
-    texts = read.groupBy("h").agg(F.min("content").alias("content"), F.max(F.col("split") == "train").alias("train"), F.max(F.col("split") != "train").alias("held"))
-    texts = cut(texts.withColumn("c", F.monotonically_increasing_id()))  # short class ids, fixed by the checkpoint
-    members = read.select("document_id", "h", (F.col("split") == "train").alias("train")).distinct().join(texts.select("h", "c"), "h")
+    read = cut(map_batches(rows, _read, _READ), "read")
+    texts = cut(read.groupBy("c", "c2").agg(F.first("s").alias("s"), F.max("train").alias("train"), F.max(~F.col("train")).alias("held")), "texts")
+    members = read.select("document_id", "c", "train").distinct()
     same = texts.where("train and held").select(F.col("c").alias("c_train"), F.col("c").alias("c_held"))
-    links = same.unionAll(similar_classes(texts.drop("h")))
+    links = same.unionAll(similar_classes(texts))
     t = members.where("train").select(F.col("c").alias("c_train"), F.col("document_id").alias("t"))
     e = members.where("not train").select(F.col("c").alias("c_held"), F.col("document_id").alias("e"))
     pairs = links.join(t, "c_train").join(e, "c_held").where("t <> e")

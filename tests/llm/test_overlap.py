@@ -61,10 +61,54 @@ def test_odd_input(spark, content):
     assert O.split_overlaps(frame(spark, rows).limit(0)).count() == 0
 
 
+def edited(rng, s, n):
+    """A sentence with n characters changed, taken out or put in, anywhere."""
+    for _ in range(n):
+        i = rng.randrange(len(s) - 1)
+        s = rng.choice([s[:i] + "变" + s[i + 1 :], s[:i] + s[i + 1 :], s[:i] + "添" + s[i:]])
+    return s
+
+
+def test_no_link_is_lost_to_edits(spark):
+    """Every sentence edited as far as the definition allows, at every length; found pairs equal brute force."""
+    rng, rows = random.Random(9), []
+    letters = "营业收入利润存货负债现金流量净额同比增长下降山水火木金土甲乙丙丁戊己庚辛壬癸"
+    for i in range(120):
+        s = ["".join(rng.choice(letters) for _ in range(rng.randint(6, 70))) + "。" for _ in range(rng.randint(1, 9))]
+        e = [edited(rng, x, rng.choice([0, O.edits_allowed(len(x) - 1), O.edits_allowed(len(x) - 1)])) for x in s]
+        rng.shuffle(e)
+        rows += [(f"t{i:03}", "train", "".join(s)), (f"e{i:03}", "eval", "".join(e))]
+    got = {tuple(r) for r in O.split_overlaps(frame(spark, rows)).collect()}
+    brute = {tuple(sorted((a[0], b[0]))) for a in rows for b in rows if a[1] == "train" != b[1] and O.agreement(a[2], b[2]) >= O.AGREE}
+    assert got == brute and len(got) > 100
+
+
+def test_short_sentences_beside_a_long_one(spark):
+    """Four short equal sentences and a long one of another text: four fifths of the sentences, little of the text."""
+    short = ["收入有所增长。", "利润有所下降。", "存货保持平稳。", "负债率为三成。"]
+    rows = [("t", "train", "".join(short) + "甲" * 60 + "乙丙" * 40 + "。"), ("e", "eval", "丁戊己" * 40 + "。" + "".join(short[::-1])), ("f", "eval", "".join(short[:3]) + "庚辛。壬癸子。")]
+    assert [tuple(r) for r in O.split_overlaps(frame(spark, rows)).collect()] == [("e", "t")]
+
+
+def test_hot_sentences_meet_no_one(spark):
+    """A sentence of every text is in no prefix of a text that has rarer ones."""
+    rng = random.Random(6)
+    rows = [(f"{side[0]}{i}", side, "本文不构成投资建议，请阅读完整的免责声明后再作决定。" + "".join(sentence(rng) for _ in range(9))) for i in range(50) for side in ("train", "eval")]
+    texts = frame(spark, rows).select("document_id", "split", "content").mapInPandas(O._read, O._READ).selectExpr("c", "c2", "s", "train", "not train held")
+    hot = O._index(texts).groupBy("c").count().count()
+    assert hot == 50 and O._index(texts).where("n = 25").count() == 0
+    assert O.split_overlaps(frame(spark, rows)).count() == 0
+
+
+def test_operator_without_table(spark):
+    rows = [("t", "train", "收入增长百分之三，毛利率改善。"), ("e", "eval", "收入增长百分之三，毛利率改善。")]
+    assert O.split_overlaps(frame(spark, rows)).count() == 1
+
+
 def test_long_text():
     rng = random.Random(2)
     t = "".join(sentence(rng) for _ in range(5000))
-    assert len(O.shingles(t)) > 40_000 and O.agreement(t, t) == 1.0
+    assert O.agreement(t, t) == 1.0
 
 
 def test_edit_distance():
