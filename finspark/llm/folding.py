@@ -14,8 +14,10 @@ import numpy as np
 from finspark.llm.lookalikes import SAME_SHAPE
 
 _ODD = {chr(c): "" for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf"} | {a: b for a, b in SAME_SHAPE}
-_ODD_RE = re.compile("[" + "".join(map(re.escape, sorted(_ODD))) + "]")
-_SENTENCE = re.compile(r"[。！？!?…]+[”’\"'）)]*|(?<![0-9]\.)(?<=[^\s.])\.(?=\s|$|[A-ZÀ-Þ一-鿿])|(?<=[0-9])\.(?=\s|$|[A-ZÀ-Þ一-鿿])|[\r\n]{2,}")
+# characters beyond the first plane apart: a class that holds both is searched one by one
+_ODD_RE = re.compile("|".join("[" + "".join(map(re.escape, sorted(c for c in _ODD if (c > "\uffff") == far))) + "]" for far in (False, True)))
+_SENTENCE = re.compile(r"[。！？!?…]+[”’\"'）)]*|\.(?<=[^\s.]\.)(?=\s|$|[A-ZÀ-Þ一-鿿])|[\r\n]{2,}")
+_WORDLIKE = re.compile(r"\w")
 _CJK = re.compile(r"[㐀-鿿豈-﫿\U00020000-\U0003ffff]")
 
 
@@ -31,7 +33,7 @@ def fold(text: str) -> str:
 
 def bare(text: str) -> str:
     """One character form, lower case, no blanks at all."""
-    return re.sub(r"\s+", "", fold(text)).lower()
+    return "".join(fold(text).split()).lower()
 
 
 def sentences(text: str) -> list[str]:
@@ -43,8 +45,8 @@ def sentences(text: str) -> list[str]:
         out.append(t[at : m.end()])
         at = m.end()
     out.append(t[at:])
-    found = (re.sub(r"\s+", "", s).lower() for s in out)
-    return [s for s in found if re.search(r"\w", s)]
+    found = "".join("\x00".join(out).lower().split()).split("\x00")
+    return [s for s in found if _WORDLIKE.search(s)]
 
 
 def is_cjk(text: str) -> bool:

@@ -7,9 +7,9 @@ are nearly the same where AGREE of the sentences of the larger one have a partne
 The join is exact for this definition. It is a prefix filter on rare elements, held-out side indexed,
 training side probing:
 
-* Of the n sentences of a held-out text at most n - ceil(AGREE * n) may lack a partner, so one of any
-  n - ceil(AGREE * n) + 1 of them has one. That many are taken as its prefix: the rarest over all texts,
-  by exact counts, then the longest.
+* Of the n sentences of a held-out text at most n - ceil(AGREE * n) may lack a partner, so KEEP of any
+  n - ceil(AGREE * n) + KEEP of them have one (or all that must, where those are fewer). That many are taken as
+  its prefix: the rarest over all texts, by exact counts, then the longest.
 * A sentence that may be edited in d places is cut into d + 1 shingles of one length, the first half of them
   counted from its start, the others from its end. An edited partner keeps one of them whole. Taken from the
   outside to the inside, it keeps one that stands behind at most as many edits as shingles lie before it, so
@@ -29,7 +29,6 @@ without an id pair with nothing.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -44,6 +43,8 @@ from finspark.session import cut, map_batches
 
 #: Share of the sentences that must agree; characters a sentence may be edited in, at most, and characters for each edit.
 AGREE, EDITS, PER_EDIT = 0.8, 3, 6
+#: Sentences of a prefix that must meet a partner before two texts are compared.
+KEEP = 2
 #: Lengths of one shingle length: lengths are classed by their root to this base.
 STEP = 1.25
 
@@ -59,7 +60,10 @@ def sentences_agree(a: str, b: str) -> bool:
 
 
 def agreement_of(x: list[str], y: list[str]) -> float:
-    """Share of the sentences, of the text that has more, that have a partner of their own on the other side."""
+    """Share of the sentences, of the text that has more, that have a partner of their own on the other side.
+
+    Below AGREE it may be less than that, as nothing is compared further.
+    """
     most = max(len(x), len(y))
     if not most:
         return 0.0
@@ -69,7 +73,12 @@ def agreement_of(x: list[str], y: list[str]) -> float:
     agreed = same.total()
     if agreed + min(len(left), len(right)) < AGREE * most:
         return agreed / most
-    partners = [[j for j, t in enumerate(right) if sentences_agree(s, t)] for s in left]
+    lacking, partners = len(left) + agreed - math.ceil(AGREE * most - 1e-9), []
+    for s in left:
+        partners.append([j for j, t in enumerate(right) if sentences_agree(s, t)])
+        lacking -= not partners[-1]
+        if lacking < 0:
+            return agreed / most
     taken: dict[int, int] = {}
 
     def place(i: int, seen: set[int]) -> bool:
@@ -89,39 +98,54 @@ def agreement(a: str, b: str) -> float:
     return agreement_of(folding.sentences(a), folding.sentences(b))
 
 
-def sketches(sentences: list[str]) -> list[tuple[int, int]]:
-    """Per sentence 128 bits, as two signed numbers, set by its pairs of neighbouring characters."""
+def sketches(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Per sentence 128 bits, as two numbers, set by its pairs of neighbouring characters; no sentence is empty."""
     if not sentences:
-        return []
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     codes = np.frombuffer("".join(sentences).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    ends = np.cumsum([len(s) for s in sentences])
-    starts = ends - np.array([len(s) for s in sentences])
+    sizes = np.array([len(s) for s in sentences])
+    ends = np.cumsum(sizes)
     after = np.concatenate([codes[1:], np.zeros(1, dtype=np.uint64)])
     after[ends - 1] = 0
     with np.errstate(over="ignore"):
         h = folding.mix(codes * np.uint64(0x9E3779B97F4A7C15) + after) >> np.uint64(57)
     bit = np.uint64(1) << (h & np.uint64(63))
-    low, high = np.where(h < 64, bit, np.uint64(0)), np.where(h < 64, np.uint64(0), bit)
-    out = (np.bitwise_or.reduceat(v, starts).view(np.int64).tolist() for v in (low, high))
-    return list(zip(*out))
+    halves = (np.where(h < 64, bit, np.uint64(0)), np.where(h < 64, np.uint64(0), bit))
+    low, high = (np.bitwise_or.reduceat(v, ends - sizes).view(np.int64) for v in halves)
+    return low, high
 
 
-_READ = "document_id string, train boolean, c long, c2 long, s array<struct<i int, h long, n int, lo long, hi long, text string>>"
+_READ = "document_id string, train boolean, text array<string>, lo array<long>, hi array<long>"
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Class of each text (128 bits of its sentences in any order) and its sentences; texts without words are left out."""
+    """The sentences of each text, in one order, and their sketches; texts without words are left out."""
     for b in batches:
-        out = []
+        ids, train, texts = [], [], []
         for i, split, t in zip(b["document_id"], b["split"], b["content"]):
-            s = sorted(folding.sentences(t))
-            if not s:
-                continue
-            key = hashlib.blake2b("\x00".join(s).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            hashes = [int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for x in s]
-            parts = [{"i": k, "h": h, "n": len(x), "lo": lo, "hi": hi, "text": x} for k, (h, x, (lo, hi)) in enumerate(zip(hashes, s, sketches(s)))]
-            out.append((i, split == "train", int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), parts))
-        yield pd.DataFrame(out, columns=["document_id", "train", "c", "c2", "s"])
+            s = folding.sentences(t)
+            if s:
+                ids.append(i)
+                train.append(split == "train")
+                texts.append(sorted(s))
+        if not texts:
+            continue
+        ends = np.cumsum([len(s) for s in texts])[:-1]
+        low, high = (pd.Series(np.split(v, ends), dtype=object) for v in sketches([x for s in texts for x in s]))
+        yield pd.DataFrame({"document_id": ids, "train": train, "text": texts, "lo": low, "hi": high})
+
+
+def read_sentences(rows: DataFrame) -> DataFrame:
+    """document_id, train, c, c2, s: class of each text (128 bits of its sentences in any order) and its sentences.
+
+    s: i, h (hash), n (length), lo, hi, text. One pass over the texts, without a shuffle.
+    """
+    r = map_batches(rows.select("document_id", "split", "content"), _read, _READ)
+    parts = F.transform(
+        F.arrays_zip("text", "lo", "hi"),
+        lambda x, i: F.struct(i.alias("i"), F.xxhash64(x["text"]).alias("h"), F.length(x["text"]).alias("n"), x["lo"].alias("lo"), x["hi"].alias("hi"), x["text"].alias("text")),
+    )
+    return r.select("document_id", "train", F.xxhash64("text").alias("c"), F.xxhash64(F.lit(1), "text").alias("c2"), parts.alias("s"))
 
 
 def _length_class(n: Column) -> Column:
@@ -162,20 +186,21 @@ def _probe(texts: DataFrame) -> DataFrame:
 
 
 def _index(texts: DataFrame) -> DataFrame:
-    """e, c, size, n, lo, hi: where the shingles of the partners of each held-out prefix may be."""
+    """e, c, size, i, n, lo, hi: where the shingles of the partners of each held-out prefix may be."""
     held = texts.where("held").select("c", "c2", F.size("s").alias("size"), "s")
     counts = texts.select(F.explode("s.h").alias("h")).groupBy("h").agg(F.count("*").alias("often"))
     s = held.select("c", "c2", "size", F.inline("s")).select("c", "c2", "size", "i", "h", "n").join(counts, "h")
     order = F.array_sort(F.collect_list(F.struct("often", (-F.col("n")).alias("short"), "i")))
-    take = F.max(F.col("size") - F.ceil(F.col("size") * AGREE - 1e-9).cast("int") + 1)
+    must = F.ceil(F.col("size") * AGREE - 1e-9).cast("int")
+    take = F.max(F.col("size") - must + F.least(F.lit(KEEP), must))
     chosen = s.groupBy("c", "c2").agg(F.slice(order, F.lit(1), take).alias("p")).select("c", "c2", F.col("p.i").alias("p"))
     prefix = F.array_distinct(F.transform("p", lambda i: F.get("s", i)))
     s = held.join(chosen, ["c", "c2"]).select("c", "size", F.inline(prefix))
     n = F.col("n")
     spread = F.sequence(F.greatest(n - _allowed(n), F.lit(1)), n + _allowed(n + EDITS))
     pairs = F.array_distinct(F.transform(spread, lambda m: F.struct(_allowed(F.greatest(m, n)).alias("d"), _length_class(m).alias("k"))))
-    s = s.select("c", "size", "text", "n", "lo", "hi", F.inline(pairs))
-    return s.select(F.explode(_keys(F.col("text"), n, F.col("d"), F.col("k"), True)).alias("e"), "c", "size", "n", "lo", "hi")
+    s = s.select("c", "size", "i", "text", "n", "lo", "hi", F.inline(pairs))
+    return s.select(F.explode(_keys(F.col("text"), n, F.col("d"), F.col("k"), True)).alias("e"), "c", "size", "i", "n", "lo", "hi")
 
 
 def similar_classes(texts: DataFrame) -> DataFrame:
@@ -183,13 +208,14 @@ def similar_classes(texts: DataFrame) -> DataFrame:
 
     texts: c, c2, s, train, held (whether a document of that side has the text); one row per class.
     """
-    index = _index(texts).select("e", F.col("c").alias("c_held"), F.col("size").alias("size_held"), F.col("n").alias("m"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    index = _index(texts).select("e", "i", F.col("c").alias("c_held"), F.col("size").alias("size_held"), F.col("n").alias("m"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     probe = _probe(texts).withColumnsRenamed({"c": "c_train", "size": "size_train"})
     most, least = F.greatest("size_held", "size_train"), F.least("size_held", "size_train")
     edits = _allowed(F.greatest("n", "m"))
     bits = F.bit_count(F.col("lo").bitwiseXOR(F.col("lo2"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("hi2")))
     met = probe.join(index, "e").where((F.col("c_held") != F.col("c_train")) & (least >= F.ceil(AGREE * most - 1e-9)) & (F.abs(F.col("n") - F.col("m")) <= edits) & (bits <= 4 * edits))
-    pairs = cut(met.select("c_train", "c_held").distinct(), "pairs")
+    found = met.groupBy("c_train", "c_held").agg(F.countDistinct("i").alias("met"), F.first("size_held").alias("size"))
+    pairs = cut(found.where(F.col("met") >= F.least(F.lit(KEEP), F.ceil(F.col("size") * AGREE - 1e-9))).select("c_train", "c_held"), "pairs")
     t = texts.where("train").select(F.col("c").alias("c_train"), F.col("s.text").alias("x"))
     h = texts.where("held").select(F.col("c").alias("c_held"), F.col("s.text").alias("y"))
 
@@ -203,7 +229,7 @@ def similar_classes(texts: DataFrame) -> DataFrame:
 def split_overlaps(inputs: DataFrame) -> DataFrame:
     """document_id_a < document_id_b: one document of train, one of eval or holdout, with the same or nearly the same content."""
     rows = inputs.where("document_id is not null and content is not null and split in ('train', 'eval', 'holdout')").select("document_id", "split", "content")
-    read = cut(map_batches(rows, _read, _READ), "read")
+    read = cut(read_sentences(rows), "read")
     texts = cut(read.groupBy("c", "c2").agg(F.first("s").alias("s"), F.max("train").alias("train"), F.max(~F.col("train")).alias("held")), "texts")
     members = read.select("document_id", "c", "train").distinct()
     same = texts.where("train and held").select(F.col("c").alias("c_train"), F.col("c").alias("c_held"))

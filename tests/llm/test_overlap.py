@@ -94,7 +94,7 @@ def test_hot_sentences_meet_no_one(spark):
     """A sentence of every text is in no prefix of a text that has rarer ones."""
     rng = random.Random(6)
     rows = [(f"{side[0]}{i}", side, "本文不构成投资建议，请阅读完整的免责声明后再作决定。" + "".join(sentence(rng) for _ in range(9))) for i in range(50) for side in ("train", "eval")]
-    texts = frame(spark, rows).select("document_id", "split", "content").mapInPandas(O._read, O._READ).selectExpr("c", "c2", "s", "train", "not train held")
+    texts = O.read_sentences(frame(spark, rows)).selectExpr("c", "c2", "s", "train", "not train held")
     hot = O._index(texts).groupBy("c").count().count()
     assert hot == 50 and O._index(texts).where("n = 25").count() == 0
     assert O.split_overlaps(frame(spark, rows)).count() == 0
