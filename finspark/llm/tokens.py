@@ -3,14 +3,15 @@
 A sequence of tokens is the encoding of its bytes exactly when every adjacent pair of tokens is the
 encoding of its own bytes. So the last token of the encoding of every prefix can be computed from
 left to right: among the vocabulary entries that end at a position (an automaton lists them), it is
-the one that goes with the last token of the prefix before it. The transducer keeps these last
-tokens for a window only. A boundary of the current prefix's encoding is stable once the sufficient
-lookahead of the merge list lies behind it; the tokens before it are then emitted and forgotten. The
-lookahead is computed from the merges: a merge can be forestalled from the right only by a merge of
-higher priority on its right-hand part, that one again only by one of still higher priority, and so
-on, and the longest such chain in bytes bounds what can matter.
-
-Runs that the split pattern yields are encoded independently; short runs are kept in a bounded cache.
+the one that goes with the last token of the prefix before it. A token still to come starts where the
+rest of the bytes is the beginning of an entry; where the encodings up to all such places part, the
+boundary is stable, and the tokens before it are emitted and forgotten. How far back it can lie is
+computed from the merges, the sufficient lookahead: a merge can be forestalled from the right only by a
+merge of higher priority on its right-hand part, that one again only by one of still higher priority,
+and so on, and the longest such chain in bytes bounds what can matter.
+
+Every text goes through the transducer. Runs that the split pattern yields are encoded independently;
+what came out for a run is kept in a bounded cache.
 Empty and null texts have the empty list; blank texts are encoded as they stand. Characters that
 UTF-8 cannot hold (lone surrogates) are encoded as the replacement character.
 """
@@ -41,6 +42,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.bytes = {i: b for b, i in ranks.items()}
+        self.sizes = {i: len(b) for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self.automaton = ahocorasick.Automaton()
         for b, i in ranks.items():
@@ -117,53 +119,77 @@ class Vocabulary:
 
 
 class Transducer:
-    """Bytes in, in pieces of any size; tokens out as soon as they are stable."""
+    """Bytes in, in pieces of any size; tokens out as soon as they are stable.
+
+    The automaton goes on from piece to piece and gives every prefix its last token. A token that is still to come
+    starts at a place whose rest is the beginning of a vocabulary entry; the boundary where the encodings up to all
+    these places part is stable, and what lies before it is emitted and forgotten. The lookahead bounds how far that
+    boundary can lie back, so what is kept is bounded too.
+    """
+
+    #: Bytes taken in before boundaries are looked for.
+    STEP = 32
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-        self.window = 4 * (vocabulary.lookahead + vocabulary.longest)
-        self.data, self.before = b"", -1
-
-    def _last(self) -> list[int]:
-        v, n = self.v, len(self.data)
-        last = [-1] * (n + 1)
-        before, goes = self.before, v.goes
-        for end, (size, t) in v.automaton.iter(self.data.decode("latin-1")):
-            at = end + 1 - size
-            if last[end + 1] >= 0:
+        self.keeps = vocabulary.lookahead + vocabulary.longest + self.STEP
+        self._new()
+
+    def _new(self) -> None:
+        self.matches = self.v.automaton.iter("")
+        self.data, self.before, self.base = "", -1, 0  # bytes not emitted, the token before them, where they start
+        self.last = [-1]  # last token of each prefix of data
+
+    def _take(self, piece: str) -> None:
+        last, base, goes, stands = self.last, self.base, self.v.goes, self.v.stands
+        self.data += piece
+        last += [-1] * len(piece)
+        self.matches.set(piece)
+        for end, (size, t) in self.matches:
+            to = end + 1 - base
+            at = to - size
+            if at < 0 or last[to] >= 0:
                 continue
-            a = last[at] if at else before
-            if (a < 0 and at == 0 and v.stands(t)) or (a >= 0 and goes(a, t) and v.stands(t)):
-                last[end + 1] = t
-        return last
-
-    def _path(self, last: list[int]) -> list[int]:
-        out, i = [], len(self.data)
-        while i > 0:
-            out.append(last[i])
-            i -= len(self.v.bytes[last[i]])
+            a = last[at] if at else self.before
+            if (a < 0 and at == 0 and stands(t)) or (a >= 0 and goes(a, t) and stands(t)):
+                last[to] = t
+
+    def _stable(self) -> int:
+        """The last boundary that nothing to come can change."""
+        data, last, n = self.data, self.last, len(self.data)
+        begins, size = self.v.automaton.match, self.v.sizes
+        live = [i for i in range(max(0, n - self.v.longest + 1), n) if (not i or last[i] >= 0) and begins(data[i:])]
+        ends = {*live, n}
+        while len(ends) > 1:
+            p = max(ends)
+            ends.discard(p)
+            ends.add(p - size[last[p]])
+        return ends.pop()
+
+    def _path(self, end: int) -> list[int]:
+        out, size, last = [], self.v.sizes, self.last
+        while end > 0:
+            out.append(last[end])
+            end -= size[last[end]]
         return out[::-1]
 
     def feed(self, piece: bytes) -> list[int]:
         """Tokens that became stable."""
         out: list[int] = []
-        for i in range(0, len(piece), self.window):
-            self.data += piece[i : i + self.window]
-            if len(self.data) > self.window:
-                path, end, keep = self._path(self._last()), 0, 0
-                for keep, t in enumerate(path):  # noqa: B007
-                    if end + len(self.v.bytes[t]) > len(self.data) - self.v.lookahead:
-                        break
-                    end += len(self.v.bytes[t])
-                if keep:
-                    out += path[:keep]
-                    self.before, self.data = path[keep - 1], self.data[end:]
+        text = piece.decode("latin-1")
+        for i in range(0, len(text), self.STEP):
+            self._take(text[i : i + self.STEP])
+            if len(self.data) >= self.STEP:
+                to = self._stable()
+                if to:
+                    out += self._path(to)
+                    self.before, self.data, self.last, self.base = self.last[to], self.data[to:], [-1, *self.last[to + 1 :]], self.base + to
         return out
 
     def finish(self) -> list[int]:
         """The rest of the tokens; the transducer is as new afterwards."""
-        out = self._path(self._last()) if self.data else []
-        self.data, self.before = b"", -1
+        out = self._path(len(self.data))
+        self._new()
         return out
 
 
@@ -174,21 +200,16 @@ class Encoder:
         self.v = vocabulary
         self.split = regex.compile(PATTERN).finditer
         self.cache: dict[str, list[int]] = {}
+        self.transducer = Transducer(vocabulary)
 
     def run(self, text: str) -> list[int]:
-        known = self.cache.get(text)
-        if known is None:
-            t = Transducer.__new__(Transducer)
-            t.v, t.data, t.before = self.v, text.encode("utf-8", "replace"), -1
-            if len(t.data) > 512:
-                t.__init__(self.v)
-                data = text.encode("utf-8", "replace")
-                return t.feed(data) + t.finish()
-            known = t._path(t._last())
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[text] = known
-        return known
+        data = text.encode("utf-8", "replace")
+        out = self.transducer.feed(data)
+        out += self.transducer.finish()
+        if len(self.cache) >= CACHE:
+            self.cache.clear()
+        self.cache[text] = out
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         if not text:

@@ -31,7 +31,7 @@ def test_pieces_of_any_size():
     while i < len(data):
         k = rng.randint(1, 900)
         out += t.feed(data[i : i + k])
-        assert len(t.data) <= 2 * t.window
+        assert len(t.data) <= t.keeps
         i += k
     assert out + t.finish() == E.v.merge(data[:0]) + REFERENCE._encode_single_piece(data)
 
@@ -55,3 +55,46 @@ def test_documents(spark):
     assert got == {(1, len(REFERENCE.encode_ordinary("收入增长"))), (2, 0), (3, 0), (4, len(REFERENCE.encode_ordinary("x" * 30_000)))}
     assert K.encode_documents(docs.limit(0)).count() == 0
     assert all(r.same for r in K.round_trip(docs).collect())
+
+
+def test_tokens_are_emitted_before_the_end():
+    """What feed gives is final, most of it comes before finish, and memory is bounded by the lookahead."""
+    rng = random.Random(8)
+    data = "".join(rng.choice(["营业收入", "revenue", "同比增长", " quarter", "12"]) for _ in range(3000)).encode()
+    t, out = K.Transducer(E.v), []
+    for b in data:
+        out += t.feed(bytes([b]))
+        assert len(t.data) <= t.keeps
+    early = len(out)
+    out += t.finish()
+    assert out == REFERENCE._encode_single_piece(data) and early > 0.95 * len(out)
+
+
+def test_without_stable_boundaries_nothing_is_emitted(monkeypatch):
+    monkeypatch.setattr(K.Transducer, "_stable", lambda self: 0)
+    t = K.Transducer(E.v)
+    data = "营业收入同比增长".encode() * 200
+    assert t.feed(data) == [] and len(t.data) == len(data) > t.keeps
+    assert t.finish() == REFERENCE._encode_single_piece(data)
+
+
+def test_texts_go_through_the_transducer(monkeypatch):
+    e, seen = K.Encoder(E.v), []
+    feed = K.Transducer.feed
+    monkeypatch.setattr(K.Transducer, "feed", lambda self, x: seen.append(x) or feed(self, x))
+    text = "收入增长 and the margin of a segment 12%。"
+    assert e.encode(text) == REFERENCE.encode_ordinary(text) and b"".join(seen) == text.encode()
+
+
+def test_lookahead_suffices():
+    """Nothing appended behind the lookahead changes a boundary before it."""
+    rng = random.Random(5)
+    for _ in range(40):
+        x = "".join(rng.choice("第三季度营业收入abcdefgh 12") for _ in range(700)).encode()
+        y = bytes(rng.randrange(256) for _ in range(50))
+        a, b = REFERENCE._encode_single_piece(x), REFERENCE._encode_single_piece(x + y)
+        at, k = 0, 0
+        while at + len(E.v.bytes[a[k]]) <= len(x) - E.v.lookahead:
+            at += len(E.v.bytes[a[k]])
+            assert a[k] == b[k]
+            k += 1
