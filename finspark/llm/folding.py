@@ -14,11 +14,23 @@ import numpy as np
 from finspark.llm.lookalikes import SAME_SHAPE
 
 _ODD = {chr(c): "" for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf"} | {a: b for a, b in SAME_SHAPE}
-# characters beyond the first plane apart: a class that holds both is searched one by one
-_ODD_RE = re.compile("|".join("[" + "".join(map(re.escape, sorted(c for c in _ODD if (c > "\uffff") == far))) + "]" for far in (False, True)))
+
+
+def _class_of(chars: list[str]) -> str:
+    """A character class of ranges, which is searched much faster than one of single characters."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in runs) + "]"
+
+
+_ODD_RE = re.compile("|".join(_class_of([c for c in _ODD if (c > "\uffff") == far]) for far in (False, True)))
 _SENTENCE = re.compile(r"[。！？!?…]+[”’\"'）)]*|\.(?<=[^\s.]\.)(?=\s|$|[A-ZÀ-Þ一-鿿])|[\r\n]{2,}")
 _WORDLIKE = re.compile(r"\w")
-_CJK = re.compile(r"[㐀-鿿豈-﫿\U00020000-\U0003ffff]")
+_CJK = re.compile(r"[㐀-鿿豈-﫿\U00020000-\U0003ffff]+")
 
 
 def fold(text: str) -> str:
@@ -51,7 +63,7 @@ def sentences(text: str) -> list[str]:
 
 def is_cjk(text: str) -> bool:
     """Whether at least a tenth of the characters are CJK."""
-    return len(_CJK.findall(text)) * 10 >= max(len(text), 1)
+    return not text.isascii() and len("".join(_CJK.findall(text))) * 10 >= max(len(text), 1)
 
 
 def gram_hashes(parts: list[str], n: int) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Reading level of each document, from 1 (any reader) to 5 (expert).
 
-A proportional-odds regression with a ridge penalty, one per script, over features of the text:
+A proportional-odds regression with a ridge penalty, one per script (Chinese, other), over features of the text:
 lexical diversity, rarity of words in the corpus, difficulty of words (the mean level of the graded
 documents they stand in, cross-fitted), connectives, depth of clauses, and lengths. Its thresholds
 are calibrated to the graded documents.
@@ -25,8 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finspark.llm import folding
+from finspark.session import cut, map_batches
 
 SLOTS, MOST_GRADED, FOLDS, RIDGE, SMOOTH = 1 << 18, 20_000, 5, 1.0, 2.0
+#: Grades from which on a script has a regression of its own.
+OWN_MODEL = 20
 LEVELS = (1, 2, 3, 4, 5)
 
 # Words that join clauses.
@@ -37,7 +40,8 @@ CONNECTIVES_EN = set(
 )
 _CONNECT_ZH = re.compile("|".join(sorted(CONNECTIVES_ZH, key=len, reverse=True)))
 _EN_WORD = re.compile(r"[a-zà-ɏ]+(?:[-'][a-zà-ɏ]+)*")
-_SENT = re.compile(r"[。！？!?]+|(?<![0-9])\.(?=\s|$)|(?<=[0-9])\.(?=\s|$)|\n{2,}")
+_SENT = re.compile(r"[。！？!?]+|\.(?=\s|$)|\n{2,}")
+_BREAK, _FIGURE, _WORDLIKE = re.compile(r"\s*[\r\n]\s*"), re.compile(r"[0-9][0-9,]*(?:\.[0-9]+)?"), re.compile(r"\w")
 _CLAUSE = re.compile(r"[,，;；:：、（(]")
 _SLOT: dict[str, int] = {}
 
@@ -55,9 +59,10 @@ def sentences_of(text: str) -> list[str]:
     """Sentences in lower case, line breaks inside them taken out, digits masked."""
     t = folding.fold(text).lower()
     cjk = folding.is_cjk(t)
-    t = re.sub(r"\s*[\r\n]\s*", "" if cjk else " ", t)
-    t = re.sub(r"[0-9][0-9,]*(?:\.[0-9]+)?", "0", t)
-    return [s for s in (x.strip() for x in _SENT.split(t)) if re.search(r"\w", s)]
+    if "\n" in t or "\r" in t:
+        t = _BREAK.sub("" if cjk else " ", t)
+    t = _FIGURE.sub("0", t)
+    return [s for s in (x.strip() for x in _SENT.split(t)) if _WORDLIKE.search(s)]
 
 
 _PART = np.zeros(0x110000, dtype=bool)
@@ -198,7 +203,7 @@ def graded_documents(documents: DataFrame, labels: DataFrame, most: int = MOST_G
     good = labels.where("doc_id is not null and reading_level between 1 and 5").groupBy("doc_id").agg(F.sort_array(F.collect_list("reading_level")).alias("grades"))
     rank = F.xxhash64("doc_id")
     chosen = good.orderBy(rank, "doc_id").limit(most)
-    docs = documents.select("doc_id", "text").where("length(trim(text)) > 0")
+    docs = documents.select("doc_id", "text").where("text is not null and length(trim(text)) > 0")
     return docs.join(chosen, "doc_id").withColumn("fold", F.pmod(rank, F.lit(FOLDS)).cast("int"))
 
 
@@ -213,16 +218,18 @@ def corpus_rarity(documents: DataFrame) -> np.ndarray:
         at = n.nonzero()[0]
         yield pd.DataFrame({"slot": at, "n": n[at]})
 
-    rows = documents.select("text").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    rows = map_batches(documents.select("text"), count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(SLOTS)
     n[rows["slot"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=float)
     return -np.log((n + 1) / (n.sum() + SLOTS))
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
-    """The model for a corpus and its grades, or None without grades. A script (Chinese, other) with fewer than 20
-    grades has no part in it, and its documents get no level."""
-    graded = graded_documents(documents, labels)
+    """The model for a corpus and its grades, or None without grades.
+
+    A script without OWN_MODEL grades is scored by a regression over the grades of both scripts.
+    """
+    graded = cut(graded_documents(documents, labels), "graded")  # MOST_GRADED rows, read twice
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, y = np.zeros((FOLDS, SLOTS)), np.zeros((FOLDS, SLOTS))
@@ -234,7 +241,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
         f, s = n.nonzero()
         yield pd.DataFrame({"fold": f.astype(np.int32), "slot": s, "n": n[f, s], "y": y[f, s]})
 
-    rows = graded.mapInPandas(sums, "fold int, slot long, n double, y double").groupBy("fold", "slot").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).toPandas()
+    rows = map_batches(graded, sums, "fold int, slot long, n double, y double").groupBy("fold", "slot").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).toPandas()
     if rows.empty:
         return None
     n, y = np.zeros((FOLDS, SLOTS)), np.zeros((FOLDS, SLOTS))
@@ -258,16 +265,19 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
                     out += [(x[0], x[1], int(v), 1.0 / len(g)) for v in g]
             yield pd.DataFrame(out, columns=["cjk", "x", "level", "weight"])
 
-    data = graded.mapInPandas(describe, "cjk boolean, x array<double>, level int, weight double").toPandas()
+    data = map_batches(graded, describe, "cjk boolean, x array<double>, level int, weight double").toPandas()
+    if data.empty:
+        return None
     by_script = {}
-    for script, d in data.groupby("cjk"):
-        if len(d) >= 20:
-            by_script[bool(script)] = fit_ordinal(np.array(d["x"].tolist()), d["level"].to_numpy(), d["weight"].to_numpy())
+    for script in (True, False):
+        own = data[data["cjk"] == script]
+        d = own if len(own) >= OWN_MODEL else data
+        by_script[script] = fit_ordinal(np.array(d["x"].tolist()), d["level"].to_numpy(), d["weight"].to_numpy())
     return Model(rarity, *table(list(range(FOLDS))), by_script)
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, reading_level: one row per document, null without text or where its script has fewer than 20 grades. Scoring is one pass without a shuffle."""
+    """doc_id, reading_level: one row per document, null without text. Scoring is one pass without a shuffle."""
     model = fit(documents, labels)
     if model is None:
         return documents.select("doc_id", F.lit(None).cast("int").alias("reading_level"))
@@ -276,7 +286,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             yield b[["doc_id"]].assign(reading_level=pd.array([model.level(t) for t in b["text"]], dtype="Float64").astype("Int32"))
 
-    return documents.select("doc_id", "text").mapInPandas(score, "doc_id long, reading_level int")
+    return map_batches(documents.select("doc_id", "text"), score, "doc_id long, reading_level int")
 
 
 def hard_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
