@@ -113,18 +113,18 @@ def features(text: str, rarity: np.ndarray, difficulty: np.ndarray, seen: np.nda
     length = [float(len(x)) if cjk else float(x.count(" ") + 1) for x in s]
     clauses = [1.0 + len(_CLAUSE.findall(x)) for x in s]
     joins = [float(len(_CONNECT_ZH.findall(x))) if cjk else float(sum(w in CONNECTIVES_EN for w in x.split())) for x in s]
-    ordered = np.sort(hard)
+    ordered, above, total = np.sort(hard), hard >= 3.5, weight.sum()
     quantiles = np.interp([0.1, 0.25, 0.5, 0.75, 0.9], np.linspace(0, 1, count), ordered) if count > 1 else np.repeat(ordered, 5)
     rare = rarity[all_]
     rare_high = np.partition(rare, int(0.9 * (len(rare) - 1)))[int(0.9 * (len(rare) - 1))]
     words = text.split()
     return cjk, [
         float(level.mean()),
-        float((hard * weight).sum() / weight.sum()),
+        float(hard @ weight / total),
         float(hard.mean()),
         *quantiles.tolist(),
-        float((hard >= 3.5).mean()),
-        float((weight * (hard >= 3.5)).sum() / weight.sum()),
+        float(above.mean()),
+        float(weight @ above / total),
         float((hard >= 2.5).mean()),
         float((seen[all_] > 0).mean()),
         float(rare.mean()),
@@ -187,10 +187,19 @@ class Model:
     seen: np.ndarray
     by_script: dict
 
-    def level(self, text: str | None) -> float | None:
-        f = features(text, self.rarity, self.difficulty, self.seen) if text else None
-        m = f and self.by_script.get(f[0])
-        return float(m.level(np.array([f[1]]))[0]) if m else None
+    def levels(self, texts: list[str | None]) -> list[int | None]:
+        """The level of each text, None without text."""
+        out: list[int | None] = [None] * len(texts)
+        rows: dict[bool, list[tuple[int, list[float]]]] = {True: [], False: []}
+        for i, t in enumerate(texts):
+            f = features(t, self.rarity, self.difficulty, self.seen) if t else None
+            if f:
+                rows[f[0]].append((i, f[1]))
+        for script, some in rows.items():
+            if some:
+                for (i, _), v in zip(some, self.by_script[script].level(np.array([x for _, x in some])).tolist()):
+                    out[i] = v
+        return out
 
 
 def _slots_of(text: str | None) -> np.ndarray:
@@ -213,8 +222,9 @@ def corpus_rarity(documents: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(SLOTS, dtype=np.int64)
         for b in batches:
-            for t in b["text"]:
-                np.add.at(n, _slots_of(t), 1)
+            slots = [_slots_of(t) for t in b["text"]]
+            if slots:
+                n += np.bincount(np.concatenate(slots), minlength=SLOTS)
         at = n.nonzero()[0]
         yield pd.DataFrame({"slot": at, "n": n[at]})
 
@@ -284,7 +294,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[["doc_id"]].assign(reading_level=pd.array([model.level(t) for t in b["text"]], dtype="Float64").astype("Int32"))
+            yield b[["doc_id"]].assign(reading_level=pd.array(model.levels(list(b["text"])), dtype="Int32"))
 
     return map_batches(documents.select("doc_id", "text"), score, "doc_id long, reading_level int")
 
