@@ -8,12 +8,12 @@ hits, reads like it but for a few words; every place with enough hits is compare
 piece is searched whole, in a table of its own, and counts where it stands word for word. A document carries an
 item when the sentences carried hold at least CARRIED of the item's own text.
 
-Compared without regard to case, blanks, line breaks and character forms. Sentences that several items
-share (standard closing lines) identify none of them and are left out of both sides of the share; they are counted
-over all items, in Spark.
+Compared without regard to case, blanks, line breaks and character forms. A sentence that several items have counts for
+each of them. Only standard closing lines identify no item and are left out of both sides of the share: sentences with
+which items end that have nothing else in common. They are looked for over all items, in Spark.
 
-Odd input: null, empty and blank texts carry nothing and are no items; an item without a sentence of its
-own never leaks; repeated rows are each judged; the texts of an item_id that stands with several are items of their own.
+Odd input: null, empty and blank texts carry nothing and are no items; an item of nothing but
+closing lines never leaks; repeated rows are each judged; the texts of an item_id that stands with several are items of their own.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,7 +74,7 @@ class WuManber:
 
 
 class Items:
-    """Held-out items, ready to be searched for: (item, its own sentences)."""
+    """Held-out items, ready to be searched for: (item, its sentences)."""
 
     def __init__(self, rows: list[tuple[int, list[str]]]) -> None:
         self.total: dict[int, int] = {}
@@ -132,18 +133,43 @@ class Items:
         return {i: n / self.total[i] for i, n in got.items()}
 
 
+def closing_lines(s: DataFrame) -> DataFrame:
+    """s: the sentences of standard closing lines.
+
+    Texts that end alike share a closing line where two of them have no sentence in common before it, and where it is
+    less than CARRIED of the text of two item_ids at least. Each text is compared with one of those that end alike.
+    """
+    text = ["item_id", "h"]
+    texts = s.groupBy(*text).agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("x")).select(*text, F.col("x.s").alias("x"))
+    small = F.when(F.col("tail") < CARRIED * F.col("chars"), F.col("item_id"))
+    first = F.min(F.when(F.col("k") > 0, F.struct(*text, "k")))
+    alike = s.groupBy("e").agg(F.countDistinct(small).alias("items"), first.alias("a")).where("items > 1")
+    pairs = s.where("k > 0").join(alike, "e").select("e", *text, F.col("k").alias("kb"), F.col("a.item_id").alias("ia"), F.col("a.h").alias("ha"), F.col("a.k").alias("ka"))
+    pairs = pairs.join(texts.withColumnRenamed("x", "xb"), text).join(texts.select(F.col("item_id").alias("ia"), F.col("h").alias("ha"), F.col("x").alias("xa")), ["ia", "ha"])
+    unlike = pairs.where(~F.arrays_overlap(F.slice("xa", F.lit(1), F.col("ka")), F.slice("xb", F.lit(1), F.col("kb"))))
+    return unlike.select(F.explode(F.slice("xb", F.col("kb") + 1, F.size("xb") - F.col("kb"))).alias("s")).distinct()
+
+
 def own_sentences(eval_items: DataFrame) -> DataFrame:
-    """item, item_id, own: the sentences of each item that no other item_id has, one row per item_id and text."""
+    """item, item_id, own: the sentences of each item but for standard closing lines, one row per item_id and text."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, h, k, s) for i, h, t in zip(b["item_id"], b["h"], b["text"]) for k, s in enumerate(dict.fromkeys(folding.sentences(t)))]
-            yield pd.DataFrame(rows, columns=["item_id", "h", "k", "s"])
+            rows = []
+            for i, h, t in zip(b["item_id"], b["h"], b["text"]):
+                found, seen, e, tail = folding.sentences(t), set(), b"", 0
+                ends = []
+                for s in reversed(found):
+                    e, tail = blake2b(e + s.encode("utf-8", "surrogatepass"), digest_size=16).digest(), tail + len(s)
+                    ends.append((e.hex(), tail))
+                for k, (s, (e, n)) in enumerate(zip(found, reversed(ends))):
+                    rows.append((i, h, k, s, s not in seen, e, n, tail))
+                    seen.add(s)
+            yield pd.DataFrame(rows, columns=["item_id", "h", "k", "s", "once", "e", "tail", "chars"])
 
     items = eval_items.where("item_id is not null and text is not null").select("item_id", "text", F.xxhash64("text").alias("h")).dropDuplicates(["item_id", "h"])
-    s = cut(map_batches(items.select("item_id", "h", "text"), split, "item_id long, h long, k int, s string"), "sentences")
-    one = s.groupBy("s").agg(F.countDistinct("item_id").alias("items")).where("items = 1").select("s")
-    own = s.join(one, "s").groupBy("item_id", "h").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("own"))
+    s = cut(map_batches(items.select("item_id", "h", "text"), split, "item_id long, h long, k int, s string, once boolean, e string, tail long, chars long"), "sentences")
+    own = s.where("once").join(closing_lines(s), "s", "left_anti").groupBy("item_id", "h").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("own"))
     return cut(own.select(F.xxhash64("item_id", "h").alias("item"), "item_id", F.col("own.s").alias("own")), "items")
 
 

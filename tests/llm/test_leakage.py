@@ -61,3 +61,26 @@ def test_every_place_is_compared():
     real = s.replace("沿用", "改用")
     assert items.carried("。".join([like] * 9) + "。" + real) == {1: 1.0}
     assert items.carried("。".join([like] * 9)) == {}
+
+
+def test_sentences_that_items_share_count_for_each(spark):
+    """Only closing lines of unlike items identify none of them; one text under two ids, or a shared passage, leaks with both."""
+    closing = "市场有风险，决策需谨慎。"
+    a, b = ITEMS[0][1].removesuffix(closing), ITEMS[1][1].removesuffix(closing)
+    first, second = a.split("。")[0] + "。", a.split("。")[1] + "。"
+    other = "丁港船务的货运代表续签了七份泊位协议，条款仍照往年执行。"
+    texts = [(1, a + closing), (2, a + closing), (3, b + closing), (4, first + other), (5, other + second), (6, second), (7, closing)]
+    docs = [(1, a), (2, "其他。" + closing), (3, b + closing), (4, second), (5, other)]
+    i, d = spark.createDataFrame(texts, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    want = {(k, 1) for k in (1, 2, 4, 5, 6)} | {(3, 3), (1, 4), (2, 4), (5, 4), (6, 4), (5, 5)}
+    got = {tuple(r) for r in L.leaked_pairs(i, d).collect()}
+    share = {(r.item_id, r.doc_id): r.share for r in L.leaks(i, d).collect()}
+    assert got == want and share[1, 1] == share[2, 1] == 1
+    assert {r.s for r in L.own_sentences(i).selectExpr("explode(own) s").collect()} >= {L.folding.bare(x) for x in (first, second, other)}
+
+
+def test_an_edited_copy_of_an_item_keeps_its_ending(spark):
+    parts = [ITEMS[0][1].split("。")[k] + "。" for k in (0, 1)] + [ITEMS[1][1].split("。")[k] + "。" for k in (0, 1)]
+    texts = [(1, "".join(parts)), (2, "改写的开头在此。" + "".join(parts[1:])), (3, parts[0] + "改写的中段在此。" + parts[3])]
+    own = {r.item_id: r.own for r in L.own_sentences(spark.createDataFrame(texts, "item_id long, text string")).collect()}
+    assert [len(own[k]) for k in (1, 2, 3)] == [4, 4, 3]
