@@ -48,6 +48,8 @@ _ALSO_DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1", "S": "5", "Z": "2", "|":
 DOMINATES, DOMINATES_ALONE, AT_LEAST = 5, 12, 3
 #: Lines counted as the edge of a page; share of a form's occurrences that must lie there; documents a form must recur in.
 EDGE, EDGE_SHARE, EDGE_DOCS = 2, 0.85, 3
+#: Order of lines that name none: before all others.
+NO_ORDER = -(1 << 63)
 
 
 def _glyph_classes() -> dict[str, str]:
@@ -113,25 +115,25 @@ def _plain_word(w: str) -> str:
 
 
 def scanned_lines(ocr_lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """All scanned lines with text: field, key, sub (line of a block), doc (document and run), page, ord, text."""
+    """All scanned lines with text: field, key, sub (line of a block), doc (document and run), page, ord, text, place (doc_id, run_id and page as given)."""
     a = ocr_lines.select(
         F.lit("o").alias("field"), F.col("line_key").alias("key"), F.lit(0).alias("sub"), "doc_id", "run_id", "page",
-        F.coalesce(F.col("line_no").cast("long"), F.lit(-1)).alias("ord"), "text",
+        F.coalesce(F.col("line_no").cast("long"), F.lit(NO_ORDER)).alias("ord"), "text",
     )
     b = blocks.where(F.col("level") == "ocr").select(
-        F.lit("b").alias("field"), F.col("block_key").alias("key"), "doc_id", "run_id", "page", F.coalesce(F.col("block_order").cast("long"), F.lit(-1)).alias("ord"),
+        F.lit("b").alias("field"), F.col("block_key").alias("key"), "doc_id", "run_id", "page", F.coalesce(F.col("block_order").cast("long"), F.lit(NO_ORDER)).alias("ord"),
         F.posexplode(F.split(F.col("text"), r"\r?\n")).alias("sub", "text"),
     )
     both = a.unionAll(b.select("field", "key", "sub", "doc_id", "run_id", "page", "ord", "text")).where(F.trim(F.coalesce("text", F.lit(""))) != "")
     lost = F.col("doc_id").isNull() | F.col("page").isNull()
     doc = F.xxhash64("field", F.when(lost, F.concat(F.lit("\x00"), F.col("key").cast("string"))).otherwise(F.col("doc_id")), F.coalesce("run_id", F.lit("")))
-    return both.select("field", "key", "sub", doc.alias("doc"), F.coalesce("page", F.lit(0)).alias("page"), "ord", "text")
+    return both.select("field", "key", "sub", doc.alias("doc"), F.coalesce("page", F.lit(0)).alias("page"), "ord", "text", F.struct("doc_id", "run_id", "page").alias("place"))
 
 
 def pages_of(lines: DataFrame) -> DataFrame:
-    """One row per page: pid, doc, page, x (its lines in order: ord, key, sub, field, text)."""
-    p = lines.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("ord", "key", "sub", "field", "text"))).alias("x"))
-    return cut(p.select(F.monotonically_increasing_id().alias("pid"), "doc", "page", "x"), "pages")
+    """One row per page: pid, doc, page, place, x (its lines in order: ord, key, sub, field, text)."""
+    p = lines.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("ord", "key", "sub", "field", "text"))).alias("x"), F.min("place").alias("place"))
+    return cut(p.select(F.monotonically_increasing_id().alias("pid"), "doc", "page", "place", "x"), "pages")
 
 
 # ---- furniture
@@ -600,39 +602,42 @@ def defects(ocr_lines: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def paragraphs(ocr_lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """doc_id, run_id, start_page, start_line, text: body lines of ocr_lines as continuous paragraphs, over page breaks.
+    """doc_id, run_id, start_page, start_line, text, field_name, record_key: body lines as continuous paragraphs, over page breaks.
 
+    Lines of ocr_lines and of scanned blocks, each field by itself, as a page may stand in one of them only. record_key is
+    the line_key or block_key in which the paragraph starts, start_line the line_no or, in a block, the line from 1.
     A paragraph ends with a line that closes a sentence and is clearly shorter than its page's lines, and around headings.
     """
     pages, marks, fixed, split = repaired(ocr_lines, blocks)
     edits = fixed.withColumn("split", F.lit(False)).unionByName(split.select("pid", "i", F.lit(None).cast("string").alias("fixed"), F.lit(True).alias("split")))
     edits = edits.groupBy("pid", "i").agg(F.max("fixed").alias("fixed"), F.max("split").alias("split"))
     body = pages.join(marks, "pid", "left").select("pid", "doc", "page", "m", F.posexplode("x").alias("i", "x")).where(~F.coalesce(F.array_contains("m", F.col("i")), F.lit(False)))
-    lines = body.where("x.field = 'o'").select("pid", "doc", "page", "i", "x.ord", "x.key", "x.text").join(edits, ["pid", "i"], "left")
+    lines = body.select("pid", "doc", "page", "i", "x.ord", "x.key", "x.sub", "x.field", "x.text").join(edits, ["pid", "i"], "left")
     lines = lines.withColumn("split", F.coalesce("split", F.lit(False))).withColumn("t", F.trim(F.coalesce("fixed", "text")))
     page = Window.partitionBy("doc", "page")
-    order = page.orderBy("ord", "key")
+    order = page.orderBy("i")
     heading = F.col("t").rlike(r"^(?:[一二三四五六七八九十]+、|\d+\.\s)") & (F.length("t") <= 40)
     lines = lines.withColumn("wide", F.max(F.length("t")).over(page)).withColumn("heading", heading)
     closes = F.col("heading") | (F.col("t").rlike(r"[。.!?！？:：]$") & (F.length("t") < 0.85 * F.col("wide")))
     lines = lines.withColumn("starts", F.col("heading") | F.coalesce(F.lag(closes).over(order), F.lit(False)))
     lines = lines.withColumn("closed", closes)
-    last = lines.groupBy("doc", "page").agg(F.max_by("closed", F.struct("ord", "key")).alias("closed"), F.max(F.when(F.col("starts"), F.struct("ord", "key"))).alias("s"))
-    pages = Window.partitionBy("doc").orderBy("page")
-    fresh = F.coalesce(F.lag("closed").over(pages), F.lit(True)).alias("fresh")
+    last = lines.groupBy("doc", "page").agg(F.max_by("closed", "i").alias("closed"), F.max(F.when(F.col("starts"), F.col("i"))).alias("s"))
+    through = Window.partitionBy("doc").orderBy("page")
+    fresh = F.coalesce(F.lag("closed").over(through), F.lit(True)).alias("fresh")
     last = last.select("doc", "page", fresh, "s")
-    own = F.when(F.col("s").isNotNull(), F.struct(F.col("page"), F.col("s.ord"), F.col("s.key"))).when(F.col("fresh"), F.struct(F.col("page"), F.lit(-9).cast("long").alias("ord"), F.lit(-9).cast("long").alias("key")))
-    before = pages.rowsBetween(Window.unboundedPreceding, -1)
+    own = F.when(F.col("s").isNotNull(), F.struct("page", F.col("s").alias("i"))).when(F.col("fresh"), F.struct("page", F.lit(-9).alias("i")))
+    before = through.rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("carried", F.last(own, ignorenulls=True).over(before)).select("doc", "page", "fresh", "carried")
-    at = F.last(F.when(F.col("starts"), F.struct("page", "ord", "key")), ignorenulls=True).over(order)
-    here = F.struct(F.col("page"), F.lit(-9).cast("long").alias("ord"), F.lit(-9).cast("long").alias("key"))
+    at = F.last(F.when(F.col("starts"), F.struct("page", "i")), ignorenulls=True).over(order)
+    here = F.struct(F.col("page"), F.lit(-9).alias("i"))
     lines = lines.withColumn("at", at).join(last, ["doc", "page"])
     start = F.coalesce(F.col("at"), F.when(F.col("fresh"), here), F.col("carried"), here)
     soft = F.when(F.col("split"), F.regexp_replace("t", r"\s*[-‐‑¬­]\s*$", "")).when(F.col("t").rlike(r"[A-Za-z0-9,.;:!?%)]$"), F.concat("t", F.lit(" "))).otherwise(F.col("t"))
     lines = lines.withColumn("start", start).withColumn("piece", soft)
-    joined = lines.groupBy("doc", "start").agg(F.array_sort(F.collect_list(F.struct("page", "ord", "key", "piece"))).alias("x"))
+    place = F.min(F.struct("page", "i", "pid", "field", "key", "sub", "ord")).alias("first")
+    joined = lines.groupBy("doc", "start").agg(F.array_sort(F.collect_list(F.struct("page", "i", "piece"))).alias("x"), place)
     text = F.trim(F.array_join(F.transform("x", lambda y: y["piece"]), ""))
-    first = joined.select(F.col("x")[0]["key"].alias("line_key"), text.alias("text"))
-    return first.join(ocr_lines.select("line_key", "doc_id", "run_id", F.col("page").alias("start_page"), F.col("line_no").alias("start_line")), "line_key").select(
-        "doc_id", "run_id", "start_page", "start_line", "text"
+    line = F.when(F.col("field") == "b", F.col("sub") + 1).when(F.col("ord") > NO_ORDER, F.col("ord").cast("int"))
+    return joined.select(text.alias("text"), "first.*").drop("page").join(pages.select("pid", "place.*"), "pid").select(
+        "doc_id", "run_id", F.col("page").alias("start_page"), line.alias("start_line"), "text", _name(F.col("field")).alias("field_name"), F.col("key").alias("record_key")
     )

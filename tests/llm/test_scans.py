@@ -39,6 +39,30 @@ def test_planted_defects(spark):
     assert "segment recovered in the longer-term contract." in text and "rnargin" not in text and "Page 3" not in text and "菅" not in text and "约53亿元" in text
 
 
+def test_paragraphs_of_blocks(spark):
+    """Pages that stand only in scanned blocks come out as paragraphs too, repaired alike, each with its place."""
+    ocr, _ = corpus(spark)
+    F = S.F
+    page = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda y: y["text"]), "\n").alias("text")
+    blocks = ocr.groupBy("doc_id", "run_id", "page").agg(F.min("line_key").alias("block_key"), page)
+    blocks = blocks.select("block_key", "doc_id", "run_id", "page", F.lit(1).alias("block_order"), F.lit("ocr").alias("level"), "text")
+    clean = spark.createDataFrame([(10**6, "d0", "r", 1, 2, "body", "Clean text of a native page.")], BLOCK)
+    only = {tuple(r) for r in S.paragraphs(spark.createDataFrame([], OCR), blocks.unionAll(clean)).select("doc_id", "run_id", "start_page", "text").collect()}
+    alone = S.paragraphs(ocr, blocks.limit(0)).select("doc_id", "run_id", "start_page", "text").collect()
+    assert alone and only == {tuple(r) for r in alone}
+    key = {(r.doc_id, r.page): r.block_key for r in blocks.collect()}
+    both = S.paragraphs(ocr, blocks).collect()
+    fields = [[r for r in both if r.field_name == f] for f in ("ocr_lines.text", "blocks.text")]
+    assert len(fields[0]) == len(fields[1]) == len(alone) and len(both) == 2 * len(alone)
+    assert all(r.record_key == key[r.doc_id, r.start_page] and r.start_line >= 1 for r in fields[1])
+
+
+def test_rows_delivered_twice_give_a_paragraph_once(spark):
+    rows = [(1, "d", None, 1, None, "The body of the page goes on", ""), (1, "d", None, 1, None, "The body of the page goes on", ""), (None, "e", "r", 2, 3, "A line without a key.", "")]
+    got = sorted(((r.doc_id, r.run_id, r.start_page, r.start_line, r.record_key) for r in S.paragraphs(spark.createDataFrame(rows, OCR), spark.createDataFrame([], BLOCK)).collect()), key=str)
+    assert got == [("d", None, 1, None, 1), ("e", "r", 2, 3, None)]
+
+
 def test_decisions_are_joined_alike_at_every_size(spark):
     """The places meet the decisions in a join; without any broadcast the result is the same."""
     ocr, want = corpus(spark)
